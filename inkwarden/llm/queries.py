@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarden.llm import licenses, mixing, quality, simhash, token_counts, toxicity, urls
+from inkwarden.llm import licenses, mixing, pii, quality, simhash, token_counts, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs))
+    base = F.filter("pii", lambda x: x.base)
+    shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+    of = lambda kind: lambda x: x.base & (x.kind == kind)
+    counts = {f"n_{k}": F.size(F.filter("pii", of(k))).cast("long") for k in pii.KINDS}
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("pii")).alias("spans"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +61,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_token_counts, op5_quality_rules, op6_toxicity, op8_url_filter, op9_simhash, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_token_counts, op5_quality_rules, op6_toxicity, op8_url_filter, op9_simhash, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
