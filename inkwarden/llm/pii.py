@@ -47,7 +47,7 @@ PRIOR_WIDTH = 40
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 VALID_IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-VOTES = ("v_form", "v_list", "v_near", "v_edge")
+VOTES = ("v_form", "v_check", "v_list", "v_near", "v_edge")
 SHAPE = ("size", "digits", "gaps")
 
 
@@ -135,6 +135,7 @@ def candidates(df: DataFrame, text: str = "text", out: str = "pii_candidates") -
         return F.struct(
             *(x[f].alias(f) for f in ("k", "s", "e", "m", "base")),
             sign(x.base).alias("v_form"),
+            F.when(kind_is("card"), sign(F.when(F.length(d) <= 19, _luhn(d)).otherwise(False))).when(kind_is("phone"), sign(F.length(d).between(10, 13))).otherwise(0).alias("v_check"),
             sign(by_kind(listed.get)).alias("v_list"),
             F.when(by_kind(lambda k: near.rlike(NEAR[k])), 1).when(near.rlike(OTHER), -1).otherwise(0).alias("v_near"),
             sign(~before.rlike(r"[\p{L}\p{N}_=/#-]$") & ~after.rlike(r"[\p{L}\p{N}_=/#@]")).alias("v_edge"),
@@ -165,12 +166,12 @@ class Model:
 
 def _estimate(table: dict[tuple, int], rounds: int = 40) -> tuple[dict, dict[tuple, float]]:
     """Dawid-Skene over vote counts, by kind: reliabilities, and the probability of each vote tuple.
-    table: (k, *votes) to count.  Starts from the majority vote; counts are smoothed by one."""
+    table: (k, *votes) to count.  Starts from the majority vote, ties against; counts are smoothed by one."""
     truth: dict[tuple, float] = {}
     reliability: dict = {}
     for k in sorted({key[0] for key in table}):
         rows = [(key[1:], n) for key, n in sorted(table.items()) if key[0] == k]
-        q = {v: 0.9 if sum(v) > 0 else 0.5 if sum(v) == 0 else 0.1 for v, _ in rows}
+        q = {v: 0.9 if sum(v) > 0 else 0.1 for v, _ in rows}
         for _ in range(rounds):
             good = sum(n * q[v] for v, n in rows)
             bad = sum(n * (1 - q[v]) for v, n in rows)
@@ -219,7 +220,7 @@ def fit_counts(counts: dict[tuple, int], rounds: int = 300, step: float = 0.5, s
 
 def fit(df: DataFrame, text: str = "text") -> Model:
     """Estimate and train on all candidates of df.  What reaches the driver is one row for each kind, vote
-    and shape that occurs: 4 * 2 * 2 * 3 * 2 * 6 * 5 * 4 at most, whatever the input's size."""
+    and shape that occurs: 4 * 2 * 3 * 2 * 3 * 2 * 6 * 5 * 4 at most, whatever the input's size."""
     found = candidates(df.select(F.col(text).alias("text")), "text", "c").select(F.explode("c").alias("c"))
     names = ("k", *VOTES, *SHAPE)
     rows = found.groupBy(*(F.col(f"c.{n}").alias(n) for n in names)).agg(F.count(F.lit(1)).alias("n")).collect()
