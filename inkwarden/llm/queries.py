@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarden.llm import licenses, mixing, pii, quality, simhash, token_counts, toxicity, urls
+from inkwarden.llm import licenses, mixing, pii, quality, simhash, substring, token_counts, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "url_score")
@@ -61,6 +65,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_token_counts, op5_quality_rules, op6_toxicity, op8_url_filter, op9_simhash, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_token_counts, op5_quality_rules, op6_toxicity, op7_substring_dedup, op8_url_filter, op9_simhash, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -53,3 +53,12 @@ def bound_batches(spark: SparkSession) -> None:
 def text_of(column: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: ASCII other than digits and letters parts words; A-Z is lower-cased; bytes above ASCII stay.
+_PLAIN = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+
+
+def plain_words(text: str) -> list[bytes]:
+    """Words without case and punctuation, in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
