@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarden.llm import licenses, mixing, pii, quality, simhash, substring, token_counts, toxicity, urls
+from inkwarden.llm import decontaminate, licenses, mixing, pii, quality, simhash, substring, token_counts, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("pii")).alias("spans"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_token_counts, op5_quality_rules, op6_toxicity, op7_substring_dedup, op8_url_filter, op9_simhash, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_mixing, op4_token_counts, op5_quality_rules, op6_toxicity, op7_substring_dedup, op8_url_filter, op9_simhash, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
