@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarden.llm.runtime import text_of
+from inkwarden.llm.runtime import fenced, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -145,7 +145,7 @@ def candidates(df: DataFrame, text: str = "text", out: str = "pii_candidates") -
         )
 
     gone = [t, "__base", "__all", "__l_email", "__l_phone", *(f"__x_{k}" for k in KINDS)]
-    return df.withColumn(out, F.transform(F.col("__all"), voted)).drop(*gone)
+    return fenced(df.withColumn(out, F.transform(F.col("__all"), voted)), [out]).drop(*gone)
 
 
 @dataclass

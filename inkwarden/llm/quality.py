@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarden.llm.runtime import GAPS, text_of
+from inkwarden.llm.runtime import GAPS, fenced, text_of
 
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 5
@@ -64,7 +64,7 @@ def text_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> Data
         "n_marks": _removed(t, "[!?.,;:]+"),
     }
     out = out.withColumns({prefix + k: v for k, v in counts.items()})
-    return out.drop(*(p + x for x in ("t", "words", "hash", "lines", "sorted", "at")))
+    return fenced(out, [prefix + k for k in COUNTS]).drop(*(p + x for x in ("t", "words", "hash", "lines", "sorted", "at")))
 
 
 def feature_columns(prefix: str = "") -> dict[str, Column]:

@@ -43,6 +43,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fenced(df: DataFrame, names: list[str]) -> DataFrame:
+    """df, with the named columns' expressions kept where they are.  A later filter on such a column
+    would otherwise be pushed below the projections that build it, which copies their expressions
+    into each other's lambdas; filters don't pass a projection that holds a running id."""
+    df = df.withColumn("__fence", F.monotonically_increasing_id())
+    return df.withColumns({n: F.when(F.col("__fence") >= 0, F.col(n)) for n in names}).drop("__fence")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
