@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwarden.llm.runtime import bound_batches, text_of
+from inkwarden.llm.runtime import bound_batches, plain_words, text_of
 
 #: (phrase, label): the fixed phrases whose places are counted.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -34,13 +34,6 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 )
 
-#: ASCII other than digits and letters parts words; A-Z is lower-cased; bytes above ASCII stay.
-_PART = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_PART).split()
-
 
 class Automaton:
     """Generalised suffix automaton over token lists; `ends[state]` has each template's first end."""
@@ -109,8 +102,8 @@ class Automaton:
 class Scanner:
     def __init__(self, phrases=PHRASES, templates=TEMPLATES, least: int = 4, gap: int = 8, cover: float = 0.8):
         self.least, self.gap, self.cover = least, gap, cover
-        lists = [words_of(t) for _, t in templates]
-        phrase_lists = [words_of(p) for p, _ in phrases]
+        lists = [plain_words(t) for _, t in templates]
+        phrase_lists = [plain_words(p) for p, _ in phrases]
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for x in (*lists, *phrase_lists) for w in x), 1)}
         self.labels, self.sizes = [x for x, _ in templates], [len(x) for x in lists]
         self.automaton = Automaton([[self.ids[w] for w in x] for x in lists])
@@ -141,7 +134,7 @@ class Scanner:
         return [{"label": self.labels[n], "template": n, "start": s, "end": e, "coverage": c} for n, s, e, c in sorted(done, key=lambda x: (x[1], x[0]))]
 
     def scan(self, text: str) -> dict:
-        words = words_of(text)
+        words = plain_words(text)
         ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int32, len(words))
         edges = np.flatnonzero(np.diff(np.r_[0, (ids > 0).view(np.int8), 0]))
         starts, ends = edges[::2], edges[1::2]

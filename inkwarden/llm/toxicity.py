@@ -18,10 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarden.llm.runtime import bound_batches, text_of
+from inkwarden.llm.runtime import bound_batches, plain_words, text_of
 
 BITS = 20
-_PART = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
 class Buckets(dict):
@@ -36,7 +35,7 @@ class Buckets(dict):
 
 def buckets_of(text: str, cache: Buckets) -> np.ndarray:
     """Sorted distinct buckets of the words of the whole text."""
-    words = set(text.encode("utf-8", "surrogatepass").translate(_PART).split())
+    words = set(plain_words(text))
     return np.unique(np.fromiter(map(cache.__getitem__, words), np.int32, len(words)))
 
 
@@ -55,7 +54,7 @@ def fold(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int = 1024, least_z: float = 4.0, rounds: int = 400, step: float = 0.05, shrink: float = 1e-3) -> Model:
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int = 1024, least_z: float = 4.0, rounds: int = 400, step: float = 0.05, shrink: float = 1e-4) -> Model:
     """Fit on bucket arrays.  Without positives or unlabelled texts the model always gives the prior."""
     prior = min(0.99, max(0.001, prior))
     weights, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
