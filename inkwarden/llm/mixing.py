@@ -5,7 +5,8 @@ taken as it is.  For the fraction, documents of a source are dealt into small bu
 one pass pairs the fraction carried so far with the next document's and moves words at random from one
 to the other, the expected values unchanged, until one of the two is 0 or 1.  The one document of
 each bucket that is left over goes up a reduction tree, where the same pass combines 64 buckets at a
-time.  Moves keep each source's words exactly, so its total misses the target by less than one document.
+time.  Moves keep each source's words exactly, so its total misses the target by less than one document;
+large documents go first, and the small ones make up for the last of them.
 """
 
 from __future__ import annotations
@@ -92,13 +93,33 @@ def _round_bucket(units: Column, id_type: str, seed: int) -> Column:
     return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), start, step)
 
 
+def _tree(units: DataFrame, of: tuple[str, ...], id_type: str, count: str, most: int, seed: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(settled, left over): units have of, `count` (open units of the source), unit = struct(id, w, x).  Settled
+    rows have of, id, hit; left over is one carried unit per source.  most: the largest count."""
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "unit.id"), F.ceil(F.col(count) / BUCKET))
+    level, settled, depth, buckets = units.select(*of, bucket.alias("bucket"), "unit"), None, 0, -(-most // BUCKET)
+    while True:
+        grouped = level.groupBy(*of, "bucket").agg(F.sort_array(F.collect_list("unit")).alias("units"))
+        done = materialize(grouped.select(*of, "bucket", _round_bucket(F.col("units"), id_type, seed + depth).alias("r")), f"mix-{tag}{depth}")
+        here = done.select(*of, F.explode("r.done").alias("d")).select(*of, "d.id", "d.hit")
+        settled = here if settled is None else settled.unionByName(here)
+        level = done.select(*of, F.floor(F.col("bucket") / FAN).alias("bucket"), F.col("r.carry").alias("unit"))
+        depth += 1
+        if buckets <= 1:
+            return settled, level.select(*of, "unit")
+        buckets = -(-buckets // FAN)
+
+
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: float = 3.0, seed: int = 11) -> DataFrame:
     """One row per row of df: key, source, size, source_size, target, copies, taken (size * copies).
 
     Size is the text's words; null and empty texts have size 0, take nothing, and a null source is a
     source of its own.  Rows alike in key, source and size share the copies due to them as evenly as can
-    be.  Chances come from hashes of keys and sizes, so reruns agree however rows are partitioned.  An
-    empty table gives an empty table.  Other columns of df are ignored, whatever their names.
+    be.  Documents above their source's mean size are rounded first; what the last of them is above or below
+    its expected words is taken from or given to the others' expectations, so that a source misses its
+    target by a part of a document of mean size at most, unless its small ones can't take that up.  Chances
+    come from hashes of keys and sizes, so reruns agree however rows are partitioned.  An empty table gives
+    an empty table.  Other columns of df are ignored, whatever their names.
     """
     sized = materialize(df.select(F.col(key).alias("k"), F.col(source).alias("source"), F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
     units = materialize(sized.groupBy("k", "source", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
@@ -107,26 +128,32 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     units = units.withColumn("base", F.floor(rate)).withColumn("due", (rate - F.col("base")) * F.col("m"))
     units = units.withColumn("whole", F.floor("due")).withColumn("f", F.col("due") - F.col("whole"))
-    id_of = F.struct("k", "size", "m", "base", "whole")
-    open_, of = (F.col("f") > 0) & (F.col("size") > 0), ("source", "source_size", "target")
-    unit = F.struct(id_of.alias("id"), F.col("size").cast("double").alias("w"), (F.col("f") * F.col("size")).alias("x"))
-    id_type = units.select(id_of.alias("id")).schema["id"].dataType.simpleString()
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "k", "size"), F.ceil(F.col("units") / BUCKET))
-    level = units.where(open_).select(*of, bucket.alias("bucket"), unit.alias("unit"))
-    settled = units.where(~open_).select(*of, id_of.alias("id"), F.lit(0).alias("hit"))
-    most_buckets = -(-(targets.agg(F.max("units")).first()[0] or 0) // BUCKET)
-    depth = 0
-    while True:
-        grouped = level.groupBy(*of, "bucket").agg(F.sort_array(F.collect_list("unit")).alias("units"))
-        done = materialize(grouped.select(*of, "bucket", _round_bucket(F.col("units"), id_type, seed + depth).alias("r")), f"mix-level{depth}")
-        settled = settled.unionByName(done.select(*of, F.explode("r.done").alias("d")).select(*of, "d.id", "d.hit"))
-        level = done.select(*of, F.floor(F.col("bucket") / FAN).alias("bucket"), F.col("r.carry").alias("unit"))
-        depth += 1
-        if most_buckets <= 1:
-            break
-        most_buckets = -(-most_buckets // FAN)
-    last = (_chance(seed - 1, F.col("unit.id")) * F.col("unit.w") < F.col("unit.x")).cast("int")
-    settled = settled.unionByName(level.select(*of, F.col("unit.id").alias("id"), last.alias("hit")))
+    id_of, of = F.struct("k", "size", "m", "base", "whole"), ("source", "source_size", "target")
+    open_ = (F.col("f") > 0) & (F.col("size") > 0)
+    large = F.col("size") * F.col("units") > F.col("source_size")
+    units = materialize(units.select(*of, id_of.alias("id"), F.col("size").cast("double").alias("w"), F.when(open_, F.col("f") * F.col("size")).alias("x"), large.alias("large")), "mix-open")
+    settled = units.where("x is null").select(*of, "id", F.lit(0).alias("hit"))
+    id_type = units.schema["id"].dataType.simpleString()
+
+    def last(carried: DataFrame, s: int) -> DataFrame:
+        hit = (_chance(s, F.col("unit.id")) * F.col("unit.w") < F.col("unit.x")).cast("int")
+        return carried.withColumn("hit", hit)
+
+    # Per source: open units and words that can be moved, of the large and the small.
+    sums = materialize(units.where("x is not null").groupBy("source").agg(*(F.count_if(c).alias(f"n_{n}") for n, c in (("large", F.col("large")), ("small", ~F.col("large")))), F.sum(F.when(~F.col("large"), F.col("x"))).alias("low"), F.sum(F.when(~F.col("large"), F.col("w") - F.col("x"))).alias("high")), "mix-sums").withColumnRenamed("source", "s")
+    counts = sums.agg(F.max("n_large").alias("large"), F.max("n_small").alias("small")).first()
+    ready = units.where("x is not null").join(sums, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    done, carried = _tree(ready.where("large").select(*of, "n_large", F.struct("id", "w", "x").alias("unit")), of, id_type, "n_large", counts["large"] or 0, seed, "large")
+    carried = materialize(last(carried, seed - 1), "mix-carried")
+    settled = settled.unionByName(done).unionByName(carried.select(*of, F.col("unit.id").alias("id"), "hit"))
+    owed = carried.select(F.col("source").alias("s"), (F.col("unit.x") - F.col("hit") * F.col("unit.w")).alias("owed"))  # a row per source
+    small = ready.where(~F.col("large")).join(owed, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    owed_ = F.coalesce("owed", F.lit(0.0))
+    # Up: by share of the words that are still to be had; down: by share of those expected.
+    moved = F.when(owed_ > 0, F.col("x") + (F.col("w") - F.col("x")) * F.least(F.lit(1.0), owed_ / F.col("high"))).when(owed_ < 0, F.col("x") * F.greatest(F.lit(0.0), 1 + owed_ / F.col("low"))).otherwise(F.col("x"))
+    small = small.withColumn("x", F.greatest(F.lit(0.0), F.least(F.col("w"), moved)))
+    done, carried = _tree(small.select(*of, "n_small", F.struct("id", "w", "x").alias("unit")), of, id_type, "n_small", counts["small"] or 0, seed + 100, "small")
+    settled = settled.unionByName(done).unionByName(last(carried, seed - 2).select(*of, F.col("unit.id").alias("id"), "hit"))
     rows = settled.select(*of, "id", (F.col("id.whole") + F.col("hit")).alias("extra"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id.m") - 1)).alias("j"))
     rows = rows.withColumn("copies", F.col("id.base") + (F.col("j") < F.col("extra")).cast("long"))
     return rows.select(F.col("id.k").alias(key), "source", F.col("id.size").alias("size"), "source_size", "target", "copies", (F.col("id.size") * F.col("copies")).alias("taken"))
