@@ -76,7 +76,7 @@ def frequent_lengths(df: DataFrame, path: str, text: str = "text", fit_rows: int
     tokenizer = load(path)
     table: dict[str, int] = {}
     counts: Counter = Counter()
-    for row in df.select(text_of(text).alias("t")).limit(fit_rows).toLocalIterator():
+    for row in df.select(text_of(text).alias("t")).take(fit_rows):  # reads only as many partitions as it needs
         if PLAIN.fullmatch(row.t):
             counts.update(PRE_TOKEN.findall(row.t))
     for word in tokenizer.get_vocab():
