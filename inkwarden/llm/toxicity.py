@@ -3,7 +3,8 @@
 Confirmed toxic texts and an unlabelled sample of the corpus train a linear classifier in numpy: words
 are hashed, those much commoner in positives than in the corpus become features, and gradient steps lower
   prior * E_pos[l(z)] + max(0, E_unl[l(-z)] - prior * E_pos[l(-z)])
-with the log loss; where the second part falls below zero, the step raises it instead.  The prior comes from
+with the sigmoid loss, which is bounded, so that a prior that is somewhat off shifts no score to the
+other side; where the second part falls below zero, the step raises it instead.  The prior comes from
 the share of toxic labels.  Scores of all texts come from a vectorised function without a shuffle.
 """
 
@@ -54,7 +55,7 @@ def fold(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int = 1024, least_z: float = 4.0, rounds: int = 400, step: float = 0.05, shrink: float = 1e-4) -> Model:
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int = 1024, least_z: float = 4.0, rounds: int = 600, step: float = 0.1, shrink: float = 3e-5) -> Model:
     """Fit on bucket arrays.  Without positives or unlabelled texts the model always gives the prior."""
     prior = min(0.99, max(0.001, prior))
     weights, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
@@ -82,16 +83,15 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int
     w, b = np.zeros(len(chosen)), bias
     mean, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     logistic = lambda v: 1 / (1 + np.exp(-np.clip(v, -40, 40)))
-    loss = lambda v: np.logaddexp(0, -v)
 
     def pull(x: tuple, per_row: np.ndarray) -> np.ndarray:
         return np.r_[np.bincount(x[0], per_row[x[1]], len(chosen)), per_row.sum()] / x[2]
 
     for turn in range(1, rounds + 1):
         zp, zu = (np.bincount(x[1], w[x[0]], x[2]) + b for x in (xp, xu))
-        rest = pull(xu, logistic(zu)) - prior * pull(xp, logistic(zp))  # of what must not fall below zero
-        negative = loss(-zu).mean() - prior * loss(-zp).mean()
-        grad = -rest if negative < 0 else rest + prior * pull(xp, -logistic(-zp))
+        su, sp = logistic(zu), logistic(zp)
+        rest = pull(xu, su * (1 - su)) - prior * pull(xp, sp * (1 - sp))  # of what must not fall below zero
+        grad = -rest if su.mean() < prior * sp.mean() else rest - prior * pull(xp, sp * (1 - sp))
         grad[:-1] += shrink * w
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         move = step * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.999**turn)) + 1e-8)
