@@ -12,3 +12,10 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
     computed anew at each use; filters don't pass a projection that holds a running id."""
     df = df.withColumns(columns).withColumn("__hold", F.monotonically_increasing_id())
     return df.withColumns({n: F.when(F.col("__hold") >= 0, F.col(n)) for n in columns}).drop("__hold")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes in fewer partitions than there are cores (a small file with one
+    row group).  A larger input stays as it is scanned, so what this moves is at most a split per core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwarden.functions import text as T
+from inkwarden.functions.plan import spread
 from inkwarden.operators import heuristics, patterns, report, scoring, semantic, surfaces, unicode, urls
 from inkwarden.plans import phrases as P
 from inkwarden.plans import planted as PL
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PL.planted(table(spark, sf_dir, "documents"))
+    return PL.planted(spread(table(spark, sf_dir, "documents")))
 
 
 def quoted(values) -> str:
@@ -319,7 +320,7 @@ _HALF = "text[1:(length(text) // 2)::INTEGER]"
 @query(f"SELECT doc_id, md5(CASE WHEN length(j) >= 50 THEN j[1:2000] ELSE '' END) AS only_md5 FROM (SELECT doc_id, array_to_string({_BIT.format(a='text', b=_HALF)}, ' ') AS j FROM documents)")
 def ocr_token_diff(spark, sf_dir):
     half = F.substring(F.col("text"), F.lit(1), F.floor(F.char_length("text") / 2).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.tokens_only_in(F.col("text"), half)).alias("only_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(T.tokens_only_in(F.col("text"), half)).alias("only_md5"))
 
 
 _RAW = (("high", "0.9"), (" Severe ", "90"), ("INFO", "x"), ("weird", ""), ("moderate", "-1"), ("extreme", "1.0"), ("critical", "250"), ("low", "0.333"))
