@@ -9,7 +9,10 @@ from inkwarden.llm import decontaminate, licenses, mixing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; one that comes in fewer partitions than there are cores is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +74,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_mixing, op4_token_counts, op5_quality_rules, op6_toxicity, op7_substring_dedup, op8_url_filter, op9_simhash, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_substring_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+      win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM w, range(1, len(ws) - 48) t(i)),
+      least AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+      gone AS (SELECT DISTINCT win.doc_id, p FROM win JOIN least USING (k), range(i, i + 50) t(p) WHERE d < win.doc_id)
+    SELECT w.doc_id, any_value(len(ws))::BIGINT AS n_words, count(g.p)::BIGINT AS n_removed, sha256(coalesce(string_agg(x.word, ' ' ORDER BY x.pos) FILTER (g.p IS NULL), '')) AS kept_sha256
+    FROM w LEFT JOIN (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w) x ON x.doc_id = w.doc_id LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.pos GROUP BY w.doc_id""",
+}
