@@ -169,13 +169,14 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return learn_rules(rows)
 
 
-def judge(df: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
+def judge(df: DataFrame, rules: DecisionList, text: str = "text", prefix: str = "") -> DataFrame:
     """df with COUNTS, base_failed (fewer than 10 words, or over a fifth of the words in repeated
     windows), rule_keeps (the list's verdict) and kept (false if base_failed, else the list's verdict).
 
-    Null and empty texts have zero counts and fail the base rule.  Repeated rows are judged alike.
+    Null and empty texts have zero counts and fail the base rule.  Repeated rows are judged alike.  All new
+    names begin with prefix; columns of these names are replaced.
     """
-    out = text_statistics(df, text)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "rule_keeps": rules.keeps()})
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule_keeps"))
+    out, c = text_statistics(df, text, prefix), lambda n: F.col(prefix + n)
+    failed = (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
+    out = out.withColumns({prefix + "base_failed": failed, prefix + "rule_keeps": rules.keeps(prefix)})
+    return out.withColumn(prefix + "kept", ~c("base_failed") & c("rule_keeps"))
