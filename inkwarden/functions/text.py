@@ -149,7 +149,7 @@ def sanitize(text: Column, findings: Column, marker: str = MARKER) -> Column:
 def tokens_only_in(a: Column, b: Column, least: int = 50, most: int = 2000) -> Column:
     """Lower-case words of three or more ASCII letters that a has and b has not, sorted and joined;
     empty below `least` characters, cut at `most`."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))
+    words = lambda c: F.transform(F.regexp_extract_all(c, F.lit("[a-zA-Z]{3,}"), F.lit(0)), F.lower)
     joined = F.array_join(F.array_sort(F.array_except(words(a), words(b))), " ")
     return F.when(F.char_length(joined) >= least, left(joined, most)).otherwise(F.lit(""))
 
@@ -163,3 +163,8 @@ def host_suffix(url: Column) -> Column:
 def query_of(url: Column) -> Column:
     """What follows the first question mark."""
     return F.regexp_extract(url, r"(?s)\?(.*)$", 1)
+
+
+def replacement_count(text: Column, marker: str = MARKER) -> Column:
+    """How often the marker stands in a text: before and after a rewrite this must not fall."""
+    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)).cast("int")

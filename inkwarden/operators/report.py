@@ -38,18 +38,29 @@ def top_findings(findings: DataFrame, most: int = 10, key: str = "doc_id") -> Da
     return findings.withColumns({"rank": F.row_number().over(w), "n_more": F.greatest(n - most, F.lit(0))}).where(F.col("rank") <= most)
 
 
+#: What a semantic layer adds to a report, and what stands there if none has run.
+SEMANTIC_DEFAULTS = {
+    "document_type": "unknown", "document_description": "", "risk_narrative": "", "attack_scenario": "", "remediation": None,
+    "attack_sophistication": "", "semantic_layer_ran": False, "semantic_model": "", "semantic_passes": None,
+}
+
+
 def reports(documents: DataFrame, extracted: DataFrame, semantic: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """One report per document: file facts from documents where it has them (file, file_hash, scan_duration_ms,
-    ai_cleared), score, verdict, findings in order, sanitized text and its changes, exit code."""
+    """One report per document: file facts and semantic results from documents where it has them (file, file_hash,
+    scan_duration_ms, ai_cleared, the columns of SEMANTIC_DEFAULTS), score, verdict, findings in order, sanitized
+    text and its changes, exit code."""
     found = all_findings(extracted, semantic, key)
-    flags = extracted.select(key, "macro_present", "visible_text").join(documents.select(key, *(c for c in ("file", "file_hash", "scan_duration_ms", "ai_cleared") if c in documents.columns)), key, "left")
+    facts = [c for c in ("file", "file_hash", "scan_duration_ms", "ai_cleared", *SEMANTIC_DEFAULTS) if c in documents.columns]
+    flags = extracted.select(key, "macro_present", "visible_text").join(documents.select(key, *facts), key, "left")
     scored = scoring.score(found, flags, key)
     row = F.struct("layer_ord", "ord", F.struct(*FIELDS).alias("f"))
     listed = found.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("__f")).select(key, F.transform("__f", lambda x: x.f).alias("findings"))
     out = flags.join(scored, key).join(listed, key, "left")
     none = F.filter(F.array(F.struct(*(F.lit(0.0 if n == "confidence" else "").alias(n) for n in FIELDS))), lambda x: F.lit(False))
-    out = out.withColumn("findings", F.coalesce("findings", none)).withColumn("__s", T.sanitize(F.col("visible_text"), F.col("findings")))
-    return out.withColumns({"sanitized_text": F.col("__s.text"), "changes": F.col("__s.changes"), "exit_code": T.exit_code(F.col("verdict"))}).drop("__s", "visible_text")
+    default = lambda v: F.array().cast("array<string>") if v is None else F.lit(v)
+    filled = {n: F.coalesce(F.col(n), default(v)) if n in facts else default(v) for n, v in SEMANTIC_DEFAULTS.items()}
+    out = out.withColumns({"findings": F.coalesce("findings", none)} | filled).withColumn("__s", T.sanitize(F.col("visible_text"), F.col("findings")))
+    return out.withColumns({"sanitized_text": F.col("__s.text"), "sanitization_changes": F.col("__s.changes"), "exit_code": T.exit_code(F.col("verdict"))}).drop("__s", "visible_text")
 
 
 def report_json(reports: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -24,6 +24,7 @@ BENIGN = (
 TAG_FIRST = 0xE0000
 _TAGS = r"[^\x{E0020}-\x{E007E}]"
 _BIDI_CLASS = r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"
+_ANY = r"[\x{AD}\x{200B}-\x{200D}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E0000}-\x{E007F}]"
 WINDOW = 60
 
 
@@ -95,4 +96,9 @@ def anomalies(text: Column, location: str = "document", letters: Column | None =
     found.append(F.when(tag_count(text) > 0, row(chr(TAG_FIRST + 0x41), "U+E0000", "unicode_tag", tag_count(text), F.trim(decode_tags(text)))))
     if letters is not None:
         found.append(F.when(F.size(letters) > 0, row("(multiple)", "NFKC", "homoglyph", F.size(letters), examples=F.slice(letters, 1, 10))))
-    return F.array_compact(F.array(*found))
+    # Nearly all texts have none of these characters: one look decides.
+    some = text.rlike(_ANY)
+    if letters is not None:
+        some = some | (F.size(letters) > 0)
+    rows = F.array_compact(F.array(*found))
+    return F.when(some, rows).otherwise(F.filter(F.array(row("", "", "", F.lit(0))), lambda x: F.lit(False)))

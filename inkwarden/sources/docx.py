@@ -6,11 +6,15 @@ import io
 import zipfile
 from xml.etree import ElementTree
 
+from inkwarden.sources import image
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Limits of an archive; smallest and largest image, images per document.
 MOST_ENTRIES = 1000
 MOST_ENTRY_BYTES = 100 * 1024 * 1024
 MOST_IMAGES = 20
+LEAST_AREA = 10_000
+IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".tiff")
 
 
 def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
@@ -61,6 +65,25 @@ def runs(body: ElementTree.Element):
             yield text, props.find(W + "vanish") is not None, value("sz"), value("color")
 
 
+def media(archive: zipfile.ZipFile):
+    """(location, ending, bytes) of the images in an archive, those beyond the size limit left out."""
+    for info in archive.infolist():
+        ending = "." + info.filename.rpartition(".")[2].lower()
+        if info.filename.startswith("word/media/") and ending in IMAGE_ENDINGS and info.file_size <= MOST_ENTRY_BYTES:
+            yield f"docx_image:{info.filename.rpartition('/')[2]}", ending, archive.read(info)
+
+
+def images(content: bytes) -> list[dict]:
+    """The first images whose header tells a size within the limits: location, ext, width, height, content."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for location, ending, data in media(archive):
+            width, height = image.size(data)
+            if LEAST_AREA <= width * height <= image.MOST_PIXELS and len(out) < MOST_IMAGES:
+                out.append({"location": location, "ext": ending, "width": width, "height": height, "content": data})
+    return out
+
+
 def extract(content: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = archive.namelist()
@@ -76,12 +99,13 @@ def extract(content: bytes) -> dict:
                 if text := " ".join(_texts(comment)).strip():
                     annotations.append(f"[comment:{comment.get(W + 'author', 'unknown')}] {text}")
         root = _xml(archive, "word/document.xml")
+        codes = [{"location": where, "content": x, "method": "qr_code"} for where, _, data in media(archive) for x in image.qr_codes(data)]
         edges = [" ".join(_texts(_xml(archive, n))) for n in names if n.startswith(("word/header", "word/footer")) and n.endswith(".xml")]
     body = root.find(W + "body")
     body = root if body is None else body
     visible = [_paragraph(p) for p in body.findall(W + "p")]
     visible += ["\n".join(_paragraph(p) for p in cell.findall(W + "p")) for table in body.findall(W + "tbl") for row in table.findall(W + "tr") for cell in row.findall(W + "tc")]
-    hidden = [{"location": "docx_body", "content": text, "method": m} for text, *how in runs(root) if (m := run_method(*how))]
+    hidden = codes + [{"location": "docx_body", "content": text, "method": m} for text, *how in runs(root) if (m := run_method(*how))]
     changes = [
         {"type": kind, "content": text, "author": node.get(W + "author", "unknown")}
         for kind, tag in (("del", "delText"), ("ins", "t")) for node in root.iter(W + kind) if (text := " ".join(_texts(node, tag)).strip())

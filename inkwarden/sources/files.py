@@ -94,3 +94,22 @@ def extract(files: DataFrame) -> DataFrame:
     schema = "path string, ext string, file_hash string, " + ", ".join(f"{n} {k}" for n, k in schemas.EXTRACTED.items()) + ", error string"
     hashed = files.withColumn("file_hash", content_hash(F.coalesce("content", F.lit(b""))))
     return schemas.completed(hashed.select("path", "ext", "file_hash", "content", "error").mapInPandas(_extract, schema))
+
+
+def embedded_images(files: DataFrame) -> DataFrame:
+    """Images inside Word documents, by their headers: path, ord, location, media_type, width, height, content."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["location", "ext", "width", "height", "content"]
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    out += [(path, i, *(x[n] for n in names)) for i, x in enumerate(docx.images(bytes(content)))]
+                except Exception:  # a broken archive has no images; `extract` gives its error
+                    continue
+            yield pd.DataFrame(out, columns=["path", "ord", *names])
+
+    docs = files.where("ext = '.docx' and content is not null").select("path", "content")
+    found = docs.mapInPandas(rows, "path string, ord int, location string, ext string, width int, height int, content binary")
+    return found.select("path", "ord", "location", media_type(F.col("ext")).alias("media_type"), "width", "height", "content")

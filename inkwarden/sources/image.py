@@ -92,6 +92,20 @@ def jpeg(content: bytes) -> tuple[int, int, dict[str, str]]:
     return width, height, found
 
 
+def size(content: bytes) -> tuple[int, int]:
+    """Width and height by the header of a PNG, JPEG or GIF; zeros for others."""
+    try:
+        if content[:4] == b"\x89PNG":
+            return png(content)[:2]
+        if content[:2] == b"\xff\xd8":
+            return jpeg(content)[:2]
+        if content[:3] == b"GIF":
+            return struct.unpack("<HH", content[6:10])
+    except (struct.error, IndexError, zlib.error):
+        pass
+    return 0, 0
+
+
 def extract(content: bytes) -> dict:
     """What an image shows counts as visible text and as an ocr_only hidden entry, as both are read."""
     width, height, found = png(content) if content[:4] == b"\x89PNG" else jpeg(content)

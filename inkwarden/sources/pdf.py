@@ -19,6 +19,11 @@ _BLOCK = re.compile(rb"\bq\b|\bQ\b")
 _NO_AREA = re.compile(rb"[\d.]+\s+[\d.]+\s+0(?:\.0*)?\s+0(?:\.0*)?\s+re\s+W")
 _INFO = re.compile(rb"/(Title|Author|Subject|Keywords|Creator|Producer|CreationDate|ModDate)\s*\(((?:[^()\\]|\\.)*)\)")
 _SCRIPT = re.compile(rb"/JS\s*\(((?:[^()\\]|\\.)*)\)")
+_XMP = re.compile(rb"<x:xmpmeta.*?</x:xmpmeta>", re.DOTALL)
+_OBJECT = re.compile(rb"\bobj\b(.{0,65536}?)\bendobj\b", re.DOTALL)
+_OUTLINE = re.compile(rb"/Title\s*\(((?:[^()\\]|\\.)*)\)")
+_CONTENTS = re.compile(rb"/Contents\s*\(((?:[^()\\]|\\.)*)\)")
+_NAME, _VALUE = (re.compile(rb"/" + k + rb"\s*\(((?:[^()\\]|\\.)*)\)") for k in (b"T", b"V"))
 _KEYS = {"CreationDate": "creationDate", "ModDate": "modDate"}
 
 
@@ -72,6 +77,28 @@ def extract(content: bytes) -> dict:
         visible.append(" ".join(texts))
         clipped += [{"page": page, "content": " ".join(x)} for x in gone]
     metadata = [{"key": _KEYS.get(k, k.lower()), "value": v} for k, v in ((k.decode(), unescape(raw).strip()) for k, raw in _INFO.findall(content)) if v]
-    if scripts := [s for raw in _SCRIPT.findall(content) if (s := unescape(raw).strip())]:
+    annotations, fields, outline = [], {}, []
+    scripts = []
+    for body in _OBJECT.findall(content):
+        script = [t for raw in _SCRIPT.findall(body) if (t := unescape(raw).strip())]
+        if b"/FT" in body and (name := _NAME.search(body)):
+            if (value := _VALUE.search(body)) and value[1]:
+                fields[unescape(name[1])] = unescape(value[1])  # of fields of one name the last counts
+            annotations += [f"[widget_script:{unescape(name[1])}] {x}" for x in script]
+        else:
+            scripts += script
+        if b"/Annot" in body and (note := _CONTENTS.search(body)) and (text := unescape(note[1]).strip()):
+            annotations.append(text)
+        if b"/Parent" in body and b"/FT" not in body and (title := _OUTLINE.search(body)):
+            outline.append({"level": 1, "title": unescape(title[1])})
+    if xmp := _XMP.search(content):
+        metadata.append({"key": "_xmp", "value": xmp[0].decode("utf-8", "replace")})
+    if outline:
+        metadata.append({"key": "_outline", "value": str(outline)})
+    loose = _OBJECT.sub(b"", content)
+    if scripts := scripts + [s for raw in _SCRIPT.findall(loose) if (s := unescape(raw).strip())]:
         metadata.append({"key": "_embedded_js", "value": "\n".join(scripts)})
-    return {"visible_text": "\n".join(visible).strip(), "clipped_text": clipped, "metadata": metadata}
+    return {
+        "visible_text": "\n".join(visible).strip(), "clipped_text": clipped, "metadata": metadata, "annotations": annotations,
+        "form_field_defaults": [{"key": k, "value": v} for k, v in fields.items()],
+    }

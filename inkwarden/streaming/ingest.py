@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from inkwarden.operators import report
+from inkwarden.operators import enrich, report
 from inkwarden.sources import files
 
 
 def scan(found: DataFrame) -> DataFrame:
     """Reports of guarded files; a file that could not be read has an error and no verdict."""
-    extracted = files.extract(found).withColumn("doc_id", F.col("path"))
+    extracted = enrich.with_ocr_differences(files.extract(found).withColumn("doc_id", F.col("path")), (F.col("ext") == ".pdf") & (F.col("ocr_text") != ""))
+    extracted = enrich.with_unicode_anomalies(extracted)
     errors = extracted.select("doc_id", "error")
     done = report.reports(extracted.select("doc_id", F.col("path").alias("file"), "file_hash"), extracted).join(errors, "doc_id")
     failed = F.col("error") != ""
