@@ -56,26 +56,26 @@ def child_masks(mask: int, radius: int = RADIUS) -> list[int]:
     return sorted(set(out))
 
 
+def _flat(label: np.ndarray) -> np.ndarray:
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
 def _close(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the smallest row of its cluster, among rows of one group; groups are contiguous."""
-    label = np.arange(len(fp))
-    left, right, shift = [], [], 1
+    """For each row the smallest row of its cluster, among rows of one group; groups are contiguous.  Rows at a
+    growing distance in the group are compared, and links are merged at once: no list of pairs is kept."""
+    label, shift = np.arange(len(fp)), 1
     at = np.arange(len(fp) - 1)
     while len(at := at[at + shift < len(fp)]) and len(at := at[group[at] == group[at + shift]]):
         near = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
-        left.append(near)
-        right.append(near + shift)
+        a, b = label[near], label[near + shift]
+        while len(apart := np.flatnonzero(a != b)):
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            label = _flat(label)
+            a, b = label[a], label[b]
         shift += 1
-    if left:
-        a, b = np.concatenate(left), np.concatenate(right)
-        while True:
-            before = label.copy()
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if (label == before).all():
-                break
     return label, np.flatnonzero(label != np.arange(len(fp)))
 
 
