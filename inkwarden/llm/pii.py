@@ -86,12 +86,18 @@ def _starts(lengths: Column) -> Column:
 
 
 def _found(df: DataFrame, name: str, text: str, pattern: str, guard: Column) -> DataFrame:
-    """df with array `name` of struct(s, e, m): code point offsets and text of the pattern's matches."""
+    """df with array `name` of struct(s, e, m, before, after): code point offsets and text of the pattern's
+    matches, up to PRIOR_WIDTH characters between the match and the one before, and the next character.  All
+    come from the pieces between matches, so that no text is searched from its start for each match."""
     p, none = f"__{name}", F.array().cast("array<string>")
     df = df.withColumns({p + "m": F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), p + "p": F.when(guard, F.split(text, pattern, -1)).otherwise(none)})
     df = df.withColumn(p + "l", F.transform(F.col(p + "m"), lambda m, i: F.char_length(m) + F.char_length(F.col(p + "p")[i])))
     df = df.withColumn(p + "t", _starts(F.col(p + "l")))
-    spans = F.transform(F.col(p + "m"), lambda m, i: F.struct((F.col(p + "t")[i] + F.char_length(F.col(p + "p")[i])).alias("s"), (F.col(p + "t")[i] + F.col(p + "l")[i]).alias("e"), m.alias("m")))
+    piece, total, at = F.col(p + "p"), F.col(p + "l"), F.col(p + "t")
+    spans = F.transform(F.col(p + "m"), lambda m, i: F.struct(
+        (at[i] + F.char_length(piece[i])).alias("s"), (at[i] + total[i]).alias("e"), m.alias("m"),
+        F.right(piece[i], F.lit(PRIOR_WIDTH)).alias("before"), F.left(piece[i + 1], F.lit(1)).alias("after"),
+    ))
     return df.withColumn(name, spans).drop(p + "m", p + "p", p + "l", p + "t")
 
 
@@ -109,7 +115,7 @@ def candidates(df: DataFrame, text: str = "text", out: str = "pii_candidates") -
     df = _found(df, "__l_phone", t, LOOSE["phone"], col.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"))
 
     def tagged(name: str, kind: str, base: Column | bool, keep) -> Column:
-        tag = lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x.s.alias("s"), x.e.alias("e"), x.m.alias("m"), F.lit(base).alias("base"))
+        tag = lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x.s.alias("s"), x.e.alias("e"), x.m.alias("m"), F.lit(base).alias("base"), x.before.alias("before"), x.after.alias("after"))
         return F.transform(F.filter(F.col(name), keep), tag)
 
     passes = lambda kind: lambda x: valid(kind, x.m)
@@ -124,7 +130,7 @@ def candidates(df: DataFrame, text: str = "text", out: str = "pii_candidates") -
 
     def voted(x: Column) -> Column:
         kind_is = lambda k: x.k == KINDS.index(k)
-        d, before, after = _digits(x.m), F.substring(col, F.greatest(x.s - PRIOR_WIDTH, F.lit(0)) + 1, F.least(x.s, F.lit(PRIOR_WIDTH))), F.substring(col, x.e + 1, F.lit(1))
+        d, before, after = _digits(x.m), x.before, x.after
         by_kind = lambda f: F.when(kind_is("email"), f("email")).when(kind_is("ip"), f("ip")).when(kind_is("card"), f("card")).otherwise(f("phone"))
         listed = {
             "email": F.lower(x.m).rlike(rf"\.\s?(?:{ENDINGS})$"), "ip": x.m.rlike(r"^(?!0|10\.|127\.|192\.168\.|22[4-9]|2[3-9][0-9])[0-9]"),
@@ -243,17 +249,28 @@ def detect(df: DataFrame, model: Model, text: str = "text", out: str = "pii") ->
     return df.withColumn(out, spans).drop("__cand")
 
 
-def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", spans: str = "pii", block: int = 1024) -> DataFrame:
     """df with each span of the text replaced by its kind in brackets; of spans that overlap, the first
-    to start takes the place of all.  Texts without spans, null ones among them, stay as they are."""
-    t = F.col(text)
+    to start takes the place of all.  Texts without spans, null ones among them, stay as they are.
+
+    The text is cut into blocks once, so that the text before a span isn't counted through for each span.
+    """
+    t, n = F.col(text), F.char_length(text)
     ordered = F.sort_array(F.transform(F.col(spans), lambda x: F.struct(x.start.alias("s"), (-x.end).alias("e"), x.kind.alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,s:int,k:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        inside = x.s < acc["at"]
-        piece = F.array(F.substring(t, acc["at"] + 1, x.s - acc["at"]), F.concat(F.lit("["), F.upper(x.k), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], -x.e).alias("at"), F.when(inside, acc.parts).otherwise(F.concat(acc.parts, piece)).alias("parts"))
-
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc.parts, ""), F.substring(t, acc["at"] + 1, F.char_length(t))))
-    return df.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(t))
+        new = F.array(F.struct(acc["at"].alias("a"), x.s.alias("s"), x.k.alias("k")))
+        return F.struct(F.greatest(acc["at"], -x.e).alias("at"), F.when(x.s < acc["at"], acc.out).otherwise(F.concat(acc.out, new)).alias("out"))
+
+    def piece(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / block).cast("int"), F.floor((b - 1) / block).cast("int")
+        joined = F.array_join(F.slice(F.col("__blocks"), first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(joined, a - first * block + 1, b - a)).otherwise("")
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.substring(t, b * block + 1, F.lit(block)))
+    some = F.size(spans) > 0
+    out = df.withColumns({"__blocks": F.when(some, cut), "__kept": F.when(some, F.aggregate(ordered, start, step))})
+    parts = F.transform(F.col("__kept.out"), lambda x: F.concat(piece(x.a, x.s), F.lit("["), F.upper(x.k), F.lit("]")))
+    done = F.concat(F.array_join(parts, ""), piece(F.col("__kept.at"), n))
+    return fenced(out.withColumn(text, F.when(some, done).otherwise(t)), [text]).drop("__blocks", "__kept")
