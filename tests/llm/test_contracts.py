@@ -58,6 +58,38 @@ def test_pii_redaction(docs):
     assert out[0]["text"] is None and out[3]["text"] == "one"
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_redaction_equals_plain_replacement(spark, block):
+    import random
+
+    rng, rows = random.Random(6), []
+    for i in range(80):
+        text = "".join(rng.choice("ab\u00e9\U0001f600 ") for _ in range(rng.randint(0, 60)))
+        spans = [(rng.choice(pii.KINDS), a, min(len(text), a + rng.randint(1, 12)), True) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 6)))] if text else []
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii array<struct<kind:string,start:int,end:int,base:boolean>>")
+    out = by_id(pii.redact(df, block=block))
+    for i, text, spans in rows:
+        want, at = "", 0
+        for kind, a, b, _ in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
+            if a >= at:
+                want += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        assert out[i]["text"] == want + text[at:], (text, spans)
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    parts = [f"w{i * 7919 % 30011}" for i in range(60_000)]
+    parts[::30] = [f"joe{i}.doe@mail{i % 7}.example.com" for i in range(len(parts[::30]))]
+    rows = list(enumerate((" ".join(parts), "a" * 400_000, "1.2.3." * 30_000 + " +1" + " " * 100_000 + "x", "@" * 50_000 + ".a" * 50_000 + "a@b" + ".c" * 50_000, "spam " * 60_000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = by_id(pii.redact(pii.detect(df, pii.fit_counts({}), out="s"), spans="s"))
+    assert found[0]["text"].count("[EMAIL]") == 2000 and found[1]["text"] == rows[1][1] and found[2]["text"].count("[IP]") == 22_500
+    out = by_id(quality.judge(df, quality.DecisionList()))
+    assert [out[i]["n_words"] for i in range(5)] == [60_000, 1, 3, 1, 60_000] and out[4]["n_repeat_words"] == 60_000
+    assert by_id(substring.remove_repeats(df))[4]["n_removed"] == 0
+
+
 def test_pii_learns_that_contexts_vouch():
     counts = {(3, 1, 1, 1, 1, 1, 2, 2, 2): 500, (3, -1, 1, 1, 1, 1, 2, 2, 2): 100, (3, -1, -1, -1, -1, -1, 2, 3, 0): 500}
     model = pii.fit_counts(counts)
