@@ -142,9 +142,10 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return out
 
 
-def shard_repeats(contents: list[np.ndarray], homes: np.ndarray) -> list[list[tuple[int, int]]]:
+def shard_repeats(contents: list[np.ndarray], homes: np.ndarray, least: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each distinct segment the word ranges that a segment of a smaller home holds too, by
-    windows of WINDOW words."""
+    windows of WINDOW words.  least: the smallest home that shares the segment's minimiser; all segments are
+    indexed, those of that home need not be streamed."""
     sizes = np.array([len(c) for c in contents])
     flat = np.concatenate(contents)
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
@@ -161,9 +162,12 @@ def shard_repeats(contents: list[np.ndarray], homes: np.ndarray) -> list[list[tu
         out[full] = _range_min(documents, low[full], high[full]) < own[full]
         return out
 
-    first, last = held(starts + WINDOW, homes), held(starts + sizes, homes)
-    out: list[list[tuple[int, int]]] = [[(0, int(n))] if a and b else [] for a, b, n in zip(first, last, sizes, strict=True)]
-    rest = np.flatnonzero(~(first & last))
+    stream = np.flatnonzero(homes > least)
+    first, last = held(starts[stream] + WINDOW, homes[stream]), held(starts[stream] + sizes[stream], homes[stream])
+    out: list[list[tuple[int, int]]] = [[] for _ in contents]
+    for seg in stream[first & last].tolist():
+        out[seg] = [(0, int(sizes[seg]))]
+    rest = stream[~(first & last)]
     for at in range(0, len(rest), 4096):
         part = rest[at : at + 4096]
         counts = sizes[part] - WINDOW + 1
@@ -208,7 +212,7 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _search(part: pd.DataFrame) -> pd.DataFrame:
     part = part.drop_duplicates(["mh", "sh"])
-    found = shard_repeats([np.frombuffer(x, np.uint64) for x in part["words"]], part["home"].to_numpy(np.int64))
+    found = shard_repeats([np.frombuffer(x, np.uint64) for x in part["words"]], part["home"].to_numpy(np.int64), part.groupby("mh")["home"].transform("min").to_numpy(np.int64))
     rows = [(m, s, a, b) for m, s, ranges in zip(part["mh"], part["sh"], found, strict=True) for a, b in ranges]
     return pd.DataFrame(rows, columns=["mh", "sh", "a", "b"]).astype("int64")
 
