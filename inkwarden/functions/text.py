@@ -23,8 +23,10 @@ def truncate(c: Column, n: int, marker: str = TRUNCATED) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """For substring tests that must hold wherever a case-insensitive match does."""
-    return F.lower(F.upper(F.translate(c, "İ", "i")))
+    """For substring tests that must hold wherever a case-insensitive match does.  The four letters that match
+    an ASCII letter without lower-casing to it are spelled out: lower(upper(c)) would fold them too, but
+    Catalyst simplifies that to lower(c)."""
+    return F.lower(F.translate(c, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
 def match_spans(text: Column, pattern: Column) -> Column:
@@ -90,7 +92,9 @@ def coerce_confidence(raw: Column) -> Column:
     text = F.trim(raw.cast("string"))
     number = F.when(~F.lower(text).rlike("[df]$") | F.lower(text).rlike("inf$"), text.try_cast("double"))
     number = F.when(F.isnan(number), None).otherwise(number)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(number > 1, number / 100).otherwise(number))), F.lit(0.65))
+    # least and greatest skip nulls, so these are told apart first.
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(number > 1, number / 100).otherwise(number)))
+    return F.when(number.isNull(), 0.65).otherwise(clamped)
 
 
 def coerce_severity(raw: Column) -> Column:

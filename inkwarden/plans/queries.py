@@ -328,7 +328,7 @@ _RAW_SQL = "raw(k, s, c) AS (VALUES " + ", ".join(f"({i}, '{s}', '{c}')" for i,
 
 
 @query(f"""WITH {_RAW_SQL} SELECT doc_id, CASE WHEN v IN ('low', 'medium', 'high', 'critical') THEN v WHEN v = 'severe' THEN 'high' WHEN v = 'extreme' THEN 'critical' WHEN v = 'info' THEN 'low' ELSE 'medium' END AS severity,
-  round(coalesce(greatest(0, least(1, CASE WHEN f > 1 THEN f / 100 ELSE f END)), 0.65), 4)::DOUBLE AS confidence FROM (SELECT doc_id, lower(trim(s)) AS v, try_cast(c AS DOUBLE) AS f FROM documents JOIN raw ON doc_id % 8 = k)""")
+  CASE WHEN f IS NULL THEN 0.65 ELSE round(greatest(0, least(1, CASE WHEN f > 1 THEN f / 100 ELSE f END)), 4) END::DOUBLE AS confidence FROM (SELECT doc_id, lower(trim(s)) AS v, try_cast(c AS DOUBLE) AS f FROM documents JOIN raw ON doc_id % 8 = k)""")
 def coerce_llm_fields(spark, sf_dir):
     raw = spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(_RAW)], "k long, s string, c string")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("k")).join(F.broadcast(raw), "k")
