@@ -1,17 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 The benchmark is the query set and is taken in blocks of bounded size; each block's seeds, the runs of
 SEED words of its items, are broadcast and looked up in every text.  A hit with its surroundings is a
-passage.  A seed is rare if fewer than `expected` places would hold it were the corpus's words
-independent; word counts come from all texts, so an item that a third of all texts leaks stays rare.  Only
-passages with a rare seed are aligned.  An alignment matches words at +2 and pays 1 for each word changed,
+passage.  Passages that hold too few of the item's words, each as often as in the item, to reach the threshold
+are left out; the bound is exact and doesn't depend on the corpus.  An alignment matches words at +2 and pays 1 for each word changed,
 added or left out; the score is its share of a perfect match of the whole item.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,25 +33,16 @@ class Block:
         cache = Hashes()
         self.names = [r["item"] for r in items]
         self.words = [plain_words((r["text"] or "").lower()) for r in items]
+        self.counts = [Counter(words) for words in self.words]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        of_seed: dict[int, list[int]] = {}
-        known: dict[int, int] = {}
         for number, words in enumerate(self.words):
-            h = hash_words(words, cache)
-            for x in h.tolist():
-                known.setdefault(x, len(known))
             if len(words) >= SEED:
-                grams = range_hash(*prefix(h), np.arange(len(h) - SEED + 1), SEED).tolist()
-                for at, g in enumerate(grams):
+                h = hash_words(words, cache)
+                for at, g in enumerate(range_hash(*prefix(h), np.arange(len(h) - SEED + 1), SEED).tolist()):
                     places[g].append((number, at))
-                    of_seed.setdefault(g, [known[x] for x in h[at : at + SEED].tolist()])
         self.seeds = np.array(sorted(places), np.uint64)
         self.places = [places[g] for g in self.seeds.tolist()]
-        self.seed_words = [of_seed[g] for g in self.seeds.tolist()]
-        order = sorted(known)
-        self.vocabulary = np.array(order, np.uint64)
-        self.vocabulary_ids = np.array([known[x] for x in order], np.int64)
-        self.seed_map, self.word_map = self._bitmap(self.seeds), self._bitmap(self.vocabulary)
+        self.seed_map = self._bitmap(self.seeds)
 
     @staticmethod
     def _bitmap(values: np.ndarray) -> np.ndarray:
@@ -71,19 +60,9 @@ class Block:
         fits = table[at] == values[maybe]
         return maybe[fits], at[fits]
 
-    def rare(self, counts: dict[int, int], total: int, expected: float) -> np.ndarray:
-        """Flags by seed.  Seeds of items that have no rare one all count as rare."""
-        total = max(1, total)
-        logs = [math.log(total) + sum(math.log(max(1, counts.get(w, 0)) / total) for w in words) for words in self.seed_words]
-        flags = np.array([x < math.log(expected) for x in logs], bool)
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for s, places in enumerate(self.places):
-            for number, _ in places:
-                by_item[number].append(s)
-        for seeds in by_item.values():
-            if not flags[seeds].any():
-                flags[seeds] = True
-        return flags
+    def reaches(self, number: int, words: list[bytes], threshold: float) -> bool:
+        """Whether an alignment with these words can score `threshold`: each match takes a word of both."""
+        return sum((self.counts[number] & Counter(words)).values()) >= threshold * len(self.words[number])
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -119,69 +98,56 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     return out
 
 
-def _passages(found: np.ndarray, seeds: np.ndarray, size: int, block: Block) -> list[tuple[int, int, int, list[int]]]:
-    """(item, start, end, seeds) of one text from its hits: around each hit as much as the item could
+def _passages(found: np.ndarray, seeds: np.ndarray, size: int, block: Block) -> list[tuple[int, int, int]]:
+    """(item, start, end) of one text from its hits: around each hit as much as the item could
     reach; passages of one item that touch are one."""
-    by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for at, seed in zip(found.tolist(), seeds.tolist(), strict=True):
         for number, offset in block.places[seed]:
             n = len(block.words[number])
-            pad = n // 4 + SEED
-            by_item[number].append((max(0, at - offset - pad), min(size, at - offset + n + pad), seed))
+            pad = n // 4 + 4
+            by_item[number].append((max(0, at - offset - pad), min(size, at - offset + n + pad)))
     out = []
     for number, hits in by_item.items():
         hits.sort()
-        start, end, got = hits[0][0], hits[0][1], {hits[0][2]}
-        for a, b, seed in hits[1:]:
+        start, end = hits[0]
+        for a, b in hits[1:]:
             if a > end:
-                out.append((number, start, end, sorted(got)))
-                start, end, got = a, b, {seed}
+                out.append((number, start, end))
+                start, end = a, b
             else:
                 end = max(end, b)
-                got.add(seed)
-        out.append((number, start, end, sorted(got)))
+        out.append((number, start, end))
     return out
 
 
-_FOUND = "id {kind}, item int, start long, words binary, seeds array<int>, word array<int>, n array<long>"
+_FOUND = "id {kind}, item int, start long, words binary"
 
 
-def _block_pairs(docs: DataFrame, items: list[Row], item_type: str, threshold: float, expected: float) -> DataFrame:
+def _block_pairs(docs: DataFrame, items: list[Row], item_type: str, threshold: float) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Block(items))  # BLOCK items at most
     kind = docs.schema["id"].dataType.simpleString()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, cache = shared.value, Hashes()
-        counts, total = np.zeros(len(block.vocabulary) + 1, np.int64), 0
-        columns = ["id", "item", "start", "words", "seeds", "word", "n"]
         for batch in batches:
             rows = []
             for ident, text in zip(batch["id"], batch["t"], strict=True):
                 words = plain_words(text.lower())
                 h = hash_words(words, cache)
-                total += len(h)
-                if len(block.vocabulary):
-                    counts += np.bincount(block.lookup(h, block.vocabulary, block.word_map)[1], minlength=len(counts))
                 if len(h) >= SEED and len(block.seeds):
                     found, seeds = block.lookup(range_hash(*prefix(h), np.arange(len(h) - SEED + 1), SEED), block.seeds, block.seed_map)
                     if len(found):
-                        rows += [(ident, number, a, b" ".join(words[a:b]), got, None, None) for number, a, b, got in _passages(found, seeds, len(h), block)]
+                        rows += [(ident, number, a, b" ".join(words[a:b])) for number, a, b in _passages(found, seeds, len(h), block) if block.reaches(number, words[a:b], threshold)]
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
-        some = np.flatnonzero(counts)
-        words = [*block.vocabulary_ids[some].tolist(), -1]
-        yield pd.DataFrame([(None, None, None, None, None, words, [*counts[some].tolist(), total])], columns=columns)
+                yield pd.DataFrame(rows, columns=["id", "item", "start", "words"])
 
     found = materialize(docs.mapInPandas(search, _FOUND.format(kind=kind)), "leak-passages")
-    summed = found.where("item is null").select(F.explode(F.arrays_zip("word", "n")).alias("x")).groupBy("x.word").agg(F.sum("x.n").alias("n")).collect()  # a row per benchmark word
-    counts = {r["word"]: r["n"] for r in summed}
-    rare = spark.sparkContext.broadcast(shared.value.rare(counts, counts.get(-1, 0), expected))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, flags = shared.value, rare.value
+        block = shared.value
         for batch in batches:
-            batch = batch[[bool(flags[np.asarray(s, np.int64)].any()) for s in batch["seeds"]]]
             pairs, sizes = [], []
             for number, passage in zip(batch["item"], batch["words"], strict=True):
                 ids: dict[bytes, int] = {}
@@ -197,17 +163,17 @@ def _block_pairs(docs: DataFrame, items: list[Row], item_type: str, threshold: f
                 columns=["id", "item", "score", "first_word", "end_word"],
             )
 
-    scored = found.where("item is not null").select("id", "item", "start", "words", "seeds").mapInPandas(score, f"id {kind}, item int, score double, first_word long, end_word long")
+    scored = found.mapInPandas(score, f"id {kind}, item int, score double, first_word long, end_word long")
     names = spark.createDataFrame([(i, n) for i, n in enumerate(shared.value.names)], f"item int, name {item_type}")  # BLOCK rows at most
     return scored.join(F.broadcast(names), "item").drop("item")
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.5, expected: float = 1.0, block: int = BLOCK) -> DataFrame:
+def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
     """One row per pair of document and benchmark item with an alignment of `threshold` or more: key, item,
     score (0 to 1, of its best passage), first_word and end_word (word offsets of that alignment, end exclusive).
 
     Words are compared without case and punctuation.  Null and empty texts and items, and items of fewer than
-    SEED words, match nothing; rows of one key count as one document, null keys together; repeated items
+    SEED words, match nothing, nor does an alignment without SEED words of the item in a row; rows of one key count as one document, null keys together; repeated items
     count once; empty tables give an empty table.  Other columns are ignored, whatever their names.
     """
     spark = df.sparkSession
@@ -220,7 +186,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     out = None
     for number in range(blocks):  # hashed blocks of half the size on average, so that none exceeds it
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).collect()
-        part = _block_pairs(docs, sorted(rows, key=lambda r: (str(r["item"]), r["text"])), item_type, threshold, expected)
+        part = _block_pairs(docs, sorted(rows, key=lambda r: (str(r["item"]), r["text"])), item_type, threshold)
         out = part if out is None else out.unionByName(part)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("at"), "end_word")).alias("b")
     out = out.groupBy("id", "name").agg(best)

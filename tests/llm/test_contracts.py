@@ -335,3 +335,13 @@ def test_url_model_tells_held_out_words_apart():
     model = urls.fit([x for i, x in enumerate(table) if i % 5])
     right = sum((urls.score(h, p, *model) >= 0.5) == y for i, (h, p, y) in enumerate(table) if i % 5 == 0)
     assert right > 0.9 * len(table) / 5
+
+
+def test_decontamination_of_common_words_does_not_depend_on_the_corpus(spark):
+    item = "the of and to in a is that it was for on are as with his they at be this " + words(8, 3)
+    leak = "x y z the of and to q1 q2 q3 that it was for q4 q5 as with his they at be this end"
+    filler = " ".join("the of and to in a is that it was for on are as with his they at be this".split()[::-1] * 400)
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    for copies in (0, 30):
+        docs = spark.createDataFrame([(1, leak)] + [(100 + i, filler) for i in range(copies)], "doc_id long, text string")
+        assert 1 in {r["doc_id"] for r in decontaminate.leaks(docs, bench, threshold=0.4).collect()}
