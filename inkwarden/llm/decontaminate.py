@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from inkwarden.llm.hashing import Hashes, hash_words, prefix, range_hash
 from inkwarden.llm.runtime import bound_batches, materialize, plain_words, text_of
 
-SEED = 4
+SEED = 3
 BLOCK = 20_000
 MATCH, CHANGE = 2, 1
 _BITMAP = 1 << 22

@@ -337,6 +337,14 @@ def test_url_model_tells_held_out_words_apart():
     assert right > 0.9 * len(table) / 5
 
 
+def test_decontamination_with_each_fourth_word_changed(spark):
+    item = words(30, 3)
+    edited = " ".join(w if i % 4 != 3 else f"changed{i}" for i, w in enumerate(item.split()))
+    docs = spark.createDataFrame([(1, words(50, 1) + " " + edited), (2, words(90, 6))], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, "three short words")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 10)]
+
+
 def test_decontamination_of_common_words_does_not_depend_on_the_corpus(spark):
     item = "the of and to in a is that it was for on are as with his they at be this " + words(8, 3)
     leak = "x y z the of and to q1 q2 q3 that it was for q4 q5 as with his they at be this end"
