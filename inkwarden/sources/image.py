@@ -28,7 +28,11 @@ def png_chunks(content: bytes):
 
 
 def _inflate(data: bytes) -> bytes:
-    return zlib.decompressobj().decompress(data, MOST_TEXT)
+    unpack = zlib.decompressobj()
+    out = unpack.decompress(data, MOST_TEXT)
+    if unpack.unconsumed_tail or unpack.decompress(b"", 1):
+        raise ValueError("too much compressed text")
+    return out
 
 
 def png(content: bytes) -> tuple[int, int, dict[str, str]]:

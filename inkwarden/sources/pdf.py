@@ -38,9 +38,13 @@ def streams(content: bytes) -> list[bytes]:
     for head, body in _STREAM.findall(content):
         if b"/FlateDecode" in head:
             try:
-                body = zlib.decompressobj().decompress(body, MOST_STREAM)
+                unpack = zlib.decompressobj()
+                body = unpack.decompress(body, MOST_STREAM)
+                more = unpack.unconsumed_tail or unpack.decompress(b"", 1)
             except zlib.error:
                 continue
+            if more:
+                raise ValueError("too large a stream")
         elif b"/Filter" in head:
             continue
         out.append(body)

@@ -141,3 +141,18 @@ def test_enrichment(spark):
     assert [h["method"] for h in out[1]["hidden_text"]] == ["off_page", "ocr_only"]
     assert out[1]["hidden_text"][1]["content"].startswith("otherx seenax")
     assert [(a["category"], a["logical_text"]) for a in out[1]["unicode_anomalies"]] == [("unicode_tag", "now")] and out[2]["unicode_anomalies"] == []
+
+
+def test_compressed_text_beyond_the_limit_is_an_error(monkeypatch):
+    from inkwarden.sources import image, pdf
+
+    packed = zlib.compress(b" " * (image.MOST_TEXT + 1))
+    content = b"\x89PNG\r\n\x1a\n" + chunk(b"zTXt", b"Title\0\0" + packed)
+    with pytest.raises(ValueError, match="too much"):
+        image.png(content)
+    assert len(image._inflate(zlib.compress(b" " * image.MOST_TEXT))) == image.MOST_TEXT
+    monkeypatch.setattr(pdf, "MOST_STREAM", 100)
+    stream = lambda n: b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(b"x" * n) + b"\nendstream"
+    assert pdf.streams(stream(100)) == [b"x" * 100]
+    with pytest.raises(ValueError, match="too large"):
+        pdf.streams(stream(101))
