@@ -175,7 +175,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
     key must be a whole number.  Null, empty and blank texts have fingerprint zero and are linked like
     others.  Null keys take part with the component of their fingerprint, null if all of that component's
-    fingerprint's keys are null.  Repeated rows keep their rows.  An empty table gives an empty table.
+    keys are null.  Repeated rows keep their rows.  An empty table gives an empty table.
     Other columns are ignored, whatever their names.
     """
     bound_batches(df.sparkSession)
@@ -185,8 +185,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
     prints = materialize(df.select(F.col(key).cast("long").alias("id"), fingerprints(text_of(text)).alias("fp")), "simhash-prints")
-    ids = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-ids")
-    roots = components(links(ids.where("rep is not null"), radius))
-    found = ids.join(roots, F.col("rep") == F.col("a"), "left").select(F.col("fp").alias("f"), F.coalesce("b", "rep").alias("component_id"))
+    ids = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-ids")
+    roots = components(links(ids.select("fp", F.col("fp").alias("rep")), radius))
+    found = ids.join(roots, F.col("fp") == F.col("a"), "left").select(F.col("fp").alias("f"), "least", F.coalesce("b", "fp").alias("root"))
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = found.join(least, "root").select("f", "component_id")
     out = prints.join(found, F.col("fp") == F.col("f"))
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

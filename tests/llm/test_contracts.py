@@ -353,3 +353,22 @@ def test_decontamination_of_common_words_does_not_depend_on_the_corpus(spark):
     for copies in (0, 30):
         docs = spark.createDataFrame([(1, leak)] + [(100 + i, filler) for i in range(copies)], "doc_id long, text string")
         assert 1 in {r["doc_id"] for r in decontaminate.leaks(docs, bench, threshold=0.4).collect()}
+
+
+def test_simhash_links_through_null_keys(spark):
+    """Two prints near a third and far from each other meet only through the row without a key."""
+    import random
+
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(9999)}" for _ in range(120)]
+    edits = [" ".join(base)]
+    for _ in range(3000):
+        now = list(base)
+        now[rng.randrange(120)] = f"w{rng.randrange(9999)}"
+        edits.append(" ".join(now))
+    full = [(simhash.fingerprint(t), t) for t in edits]
+    full = [(f, t) for f, t in full if (f ^ full[0][0]) >> 62 == 0]
+    near = [(f, t) for f, t in full if 0 < (f ^ full[0][0]).bit_count() <= 3]
+    a, b = next((x, y) for x in near for y in near if (x[0] ^ y[0]).bit_count() > 3)
+    docs = spark.createDataFrame([(7, a[1]), (None, full[0][1]), (9, b[1])], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {7}
