@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ GAPS = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 256
 
 _own_folder: list[str] = []
+#: Folders that materialize wrote, while one or more scratch blocks are open.
+_watched: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,15 +44,48 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _watched:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Collects the folders that materialize writes inside the block and removes, at its end, those that are
+    still in the list.  Whatever is lazily read from them must be done by then."""
+    paths: list[str] = []
+    _watched.append(paths)
+    try:
+        yield paths
+    finally:
+        _watched.remove(paths)
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each led by as many underscores as keep it from meeting a column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fenced(df: DataFrame, names: list[str]) -> DataFrame:
     """df, with the named columns' expressions kept where they are.  A later filter on such a column
     would otherwise be pushed below the projections that build it, which copies their expressions
     into each other's lambdas; filters don't pass a projection that holds a running id."""
-    df = df.withColumn("__fence", F.monotonically_increasing_id())
-    return df.withColumns({n: F.when(F.col("__fence") >= 0, F.col(n)) for n in names}).drop("__fence")
+    (fence,) = unused(df, "__fence")
+    df = df.withColumn(fence, F.monotonically_increasing_id())
+    return df.withColumns({n: F.when(F.col(fence) >= 0, F.col(n)) for n in names}).drop(fence)
 
 
 def bound_batches(spark: SparkSession) -> None:
