@@ -34,6 +34,8 @@ def text_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> Data
     and empty texts have zeros; columns of these names are replaced; no row moves.
     """
     p = "__stat_"
+    while any(c.startswith(p) for c in df.columns):
+        p = f"_{p}"
     out = df.withColumn(p + "t", text_of(text))
     trimmed = F.btrim(F.col(p + "t"), F.lit(" \t\n\x0b\f\r"))
     out = out.withColumn(p + "words", F.when(F.char_length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, GAPS)))
