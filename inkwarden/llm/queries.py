@@ -17,11 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.detect(docs, pii.fit(docs))
+    found = pii.fit_detect(docs, keep_text=False)
     base = F.filter("pii", lambda x: x.base)
     shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
     of = lambda kind: lambda x: x.base & (x.kind == kind)
-    counts = {f"n_{k}": F.size(F.filter("pii", of(k))).cast("long") for k in pii.KINDS}
+    counts = {f"n_{k}": F.size(F.filter("pii", of(k))).cast("long") for k in pii.BASE_KINDS}
     return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("pii")).alias("spans"))
 
 
