@@ -1,10 +1,12 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-The benchmark is the query set and is taken in blocks of bounded size; each block's seeds, the runs of
-SEED words of its items, are broadcast and looked up in every text.  A hit with its surroundings is a
-passage.  Passages that hold too few of the item's words, each as often as in the item, to reach the threshold
-are left out; the bound is exact and doesn't depend on the corpus.  An alignment matches words at +2 and pays 1 for each word changed,
-added or left out; the score is its share of a perfect match of the whole item.
+"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+
+A seed is a run of SEED words of an item that few items share (RARE texts at most; an item that has no such run
+keeps its rarest ones).  How many share it is counted over the whole benchmark; the corpus plays no part in it, so
+that its size changes no result.  The benchmark is the query set and is taken in blocks of bounded size; each
+block's rare seeds are broadcast and looked up in every text.  A hit with its surroundings is a passage.
+Passages that hold too few of the item's words, each as often as in the item, to reach the threshold
+are left out before anything is written; the bound is exact.  An alignment matches words at +2 and pays 1 for
+each word changed, added or left out; the score is its share of a perfect match of the whole item.
 """
 
 from __future__ import annotations
@@ -20,26 +22,55 @@ from pyspark.sql import functions as F
 from inkwarden.llm.hashing import Hashes, hash_words, prefix, range_hash
 from inkwarden.llm.runtime import bound_batches, materialize, plain_words, text_of
 
-SEED = 3
-BLOCK = 20_000
+SEED, RARE = 3, 64
+BLOCK, BLOCK_BYTES = 20_000, 32_000_000
 MATCH, CHANGE = 2, 1
 _BITMAP = 1 << 22
 
 
+def seed_hashes(words: list[bytes], cache: Hashes) -> np.ndarray:
+    """Hash of each run of SEED words, in order."""
+    if len(words) < SEED:
+        return np.zeros(0, np.uint64)
+    return range_hash(*prefix(hash_words(words, cache)), np.arange(len(words) - SEED + 1), SEED)
+
+
+def item_words(text: str) -> list[bytes]:
+    return plain_words(text.lower())
+
+
+def rare_seeds(items: DataFrame) -> DataFrame:
+    """items (item, text) with `rare`, the hashes of each text's rare seeds; texts without a seed go."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = Hashes()
+        for batch in batches:
+            for th, text in zip(batch["th"], batch["text"], strict=True):
+                yield pd.DataFrame({"th": th, "g": np.unique(seed_hashes(item_words(text), cache)).view(np.int64)})
+
+    items = items.withColumn("th", F.xxhash64("text"))
+    pairs = items.select("th", "text").distinct().mapInPandas(cut, "th long, g long")
+    counted = pairs.join(pairs.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
+    seeds = counted.groupBy("th").agg(F.min("n").alias("least"), F.collect_list(F.struct("g", "n")).alias("all"))
+    rare = F.transform(F.filter("all", lambda x: x.n <= F.greatest(F.lit(RARE), F.col("least"))), lambda x: x.g)
+    return items.join(seeds.select("th", rare.alias("rare")), "th").select("item", "text", "rare")
+
+
 class Block:
-    """A block's items and the lookup tables for their seeds and words."""
+    """A block's texts and the lookup tables for their rare seeds and words."""
 
-    def __init__(self, items: list[Row]):
+    def __init__(self, rows: list[Row]):
         cache = Hashes()
-        self.names = [r["item"] for r in items]
-        self.words = [plain_words((r["text"] or "").lower()) for r in items]
+        texts = {r["text"]: r["rare"] for r in rows}
+        numbers = {text: i for i, text in enumerate(sorted(texts))}
+        self.names = [(numbers[r["text"]], r["item"]) for r in rows]
+        self.words = [item_words(text) for text in numbers]
         self.counts = [Counter(words) for words in self.words]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for number, words in enumerate(self.words):
-            if len(words) >= SEED:
-                h = hash_words(words, cache)
-                for at, g in enumerate(range_hash(*prefix(h), np.arange(len(h) - SEED + 1), SEED).tolist()):
-                    places[g].append((number, at))
+        for number, (text, words) in enumerate(zip(numbers, self.words, strict=True)):
+            h = seed_hashes(words, cache)
+            for at in np.flatnonzero(np.isin(h, np.array(texts[text], np.int64).view(np.uint64))).tolist():
+                places[int(h[at])].append((number, at))
         self.seeds = np.array(sorted(places), np.uint64)
         self.places = [places[g] for g in self.seeds.tolist()]
         self.seed_map = self._bitmap(self.seeds)
@@ -124,9 +155,9 @@ def _passages(found: np.ndarray, seeds: np.ndarray, size: int, block: Block) ->
 _FOUND = "id {kind}, item int, start long, words binary"
 
 
-def _block_pairs(docs: DataFrame, items: list[Row], item_type: str, threshold: float) -> DataFrame:
+def _block_pairs(docs: DataFrame, rows: list[Row], item_type: str, threshold: float) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Block(items))  # BLOCK items at most
+    shared = spark.sparkContext.broadcast(Block(rows))  # BLOCK items and about BLOCK_BYTES at most
     kind = docs.schema["id"].dataType.simpleString()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,12 +165,12 @@ def _block_pairs(docs: DataFrame, items: list[Row], item_type: str, threshold: f
         for batch in batches:
             rows = []
             for ident, text in zip(batch["id"], batch["t"], strict=True):
-                words = plain_words(text.lower())
-                h = hash_words(words, cache)
-                if len(h) >= SEED and len(block.seeds):
-                    found, seeds = block.lookup(range_hash(*prefix(h), np.arange(len(h) - SEED + 1), SEED), block.seeds, block.seed_map)
+                words = item_words(text)
+                h = seed_hashes(words, cache)
+                if len(h) and len(block.seeds):
+                    found, seeds = block.lookup(h, block.seeds, block.seed_map)
                     if len(found):
-                        rows += [(ident, number, a, b" ".join(words[a:b])) for number, a, b in _passages(found, seeds, len(h), block) if block.reaches(number, words[a:b], threshold)]
+                        rows += [(ident, number, a, b" ".join(words[a:b])) for number, a, b in _passages(found, seeds, len(words), block) if block.reaches(number, words[a:b], threshold)]
             if rows:
                 yield pd.DataFrame(rows, columns=["id", "item", "start", "words"])
 
@@ -164,7 +195,7 @@ def _block_pairs(docs: DataFrame, items: list[Row], item_type: str, threshold: f
             )
 
     scored = found.mapInPandas(score, f"id {kind}, item int, score double, first_word long, end_word long")
-    names = spark.createDataFrame([(i, n) for i, n in enumerate(shared.value.names)], f"item int, name {item_type}")  # BLOCK rows at most
+    names = spark.createDataFrame(shared.value.names, f"item int, name {item_type}")  # BLOCK rows at most
     return scored.join(F.broadcast(names), "item").drop("item")
 
 
@@ -173,19 +204,21 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     score (0 to 1, of its best passage), first_word and end_word (word offsets of that alignment, end exclusive).
 
     Words are compared without case and punctuation.  Null and empty texts and items, and items of fewer than
-    SEED words, match nothing, nor does an alignment without SEED words of the item in a row; rows of one key count as one document, null keys together; repeated items
-    count once; empty tables give an empty table.  Other columns are ignored, whatever their names.
+    SEED words, match nothing, nor does an alignment without a rare seed of the item; rows of one key count as
+    one document, null keys together; repeated items count once; empty tables give an empty table.  Other columns
+    are ignored, whatever their names.
     """
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(F.col(key).alias("id"), text_of(text).alias("t"))
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
-    total = items.count()
-    blocks = -(-2 * total // block) if total > block else 1
+    items = materialize(rare_seeds(items), "leak-items")
+    total, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(-(-2 * total // block) if total > block else 1, -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1)
     item_type = items.schema["item"].dataType.simpleString()
     out = None
     for number in range(blocks):  # hashed blocks of half the size on average, so that none exceeds it
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).collect()
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number).collect()
         part = _block_pairs(docs, sorted(rows, key=lambda r: (str(r["item"]), r["text"])), item_type, threshold)
         out = part if out is None else out.unionByName(part)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("at"), "end_word")).alias("b")
