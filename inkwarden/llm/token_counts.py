@@ -6,6 +6,10 @@ the tokenizer's own vocabulary, which merge training picked by frequency, and th
 pre-tokens of a bounded sample of the corpus.  Tier two is a bounded cache in each Python
 worker that asks the tokenizer once for every pre-token that tier one misses.  The tables decide
 only how fast a count is found, never what it is.
+
+Where a text holds characters that library and `re` may split apart differently, it is cut at single spaces
+between other characters, which are always a pre-token's beginning; pieces with such characters are asked for
+whole, through the same cache, and the others go by pre-tokens.
 """
 
 from __future__ import annotations
@@ -22,13 +26,16 @@ from inkwarden.llm.runtime import bound_batches, text_of
 
 #: Characters on which Python and the tokenizer agree beyond any Unicode version: printable ASCII,
 #: tab, line ends, and Latin letters and signs up to U+017F without the superscripts and fractions,
-#: which are numbers there.  Texts with any other character go to the tokenizer whole.
+#: which are numbers there.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ſ]*")
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 _SPACE = "\t\n\r\x20\xa0"
 PRE_TOKEN = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
+#: White space by any account, and characters that only some count as such.
+_BLANK = "\\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
+CUT = re.compile(f"(?<=[^{_BLANK}])(?=\x20[^{_BLANK}])")
 
 
 def load(path: str):
@@ -65,25 +72,39 @@ class Lengths(dict):
 
 
 def count(text: str, lengths: Lengths, special: list[str]) -> int:
-    if PLAIN.fullmatch(text) and not any(s in text for s in special):
+    if any(s in text for s in special):
+        return len(lengths.tokenizer.encode(text, add_special_tokens=False).ids)
+    if PLAIN.fullmatch(text):
         return sum(map(lengths.__getitem__, PRE_TOKEN.findall(text)))
-    return len(lengths.tokenizer.encode(text, add_special_tokens=False).ids)
+    return sum(sum(map(lengths.__getitem__, PRE_TOKEN.findall(x))) if PLAIN.fullmatch(x) else lengths[x] for x in CUT.split(text))
 
 
 def frequent_lengths(df: DataFrame, path: str, text: str = "text", fit_rows: int = 2000, entries: int = 65_536) -> dict[str, int]:
-    """Tier one: at most `entries` pre-tokens.  The vocabulary is bounded by the tokenizer file,
-    the sample by `fit_rows` rows (whichever rows Spark gives first; they only warm a cache)."""
+    """Tier one: at most `entries` pre-tokens of 64 characters at most.  The vocabulary is bounded by the
+    tokenizer file; of about fit_rows texts, spread over the corpus by their hash, executors count the pre-tokens,
+    and only the commonest reach the driver.  They only warm a cache."""
     tokenizer = load(path)
-    table: dict[str, int] = {}
-    counts: Counter = Counter()
-    for row in df.select(text_of(text).alias("t")).take(fit_rows):  # reads only as many partitions as it needs
-        if PLAIN.fullmatch(row.t):
-            counts.update(PRE_TOKEN.findall(row.t))
+    rate = min(1.0, fit_rows / max(1, df.count()))
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for t in batch["t"]:
+                if PLAIN.fullmatch(t):
+                    counts.update(w for w in PRE_TOKEN.findall(t) if len(w) <= 64)
+            if len(counts) > entries:
+                yield pd.DataFrame(counts.items(), columns=["w", "n"])
+                counts.clear()
+        yield pd.DataFrame(counts.items(), columns=["w", "n"]).astype({"w": "str", "n": "int64"})
+
+    sample = df.select(text_of(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    common = sample.mapInPandas(tally, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(entries).select("w").collect()
+    words = dict.fromkeys(r["w"] for r in common)
     for word in tokenizer.get_vocab():
-        shown = word.replace("Ġ", " ")
-        if shown.isascii() and PRE_TOKEN.fullmatch(shown):
-            counts.setdefault(shown, 0)
-    words = [w for w, _ in counts.most_common(entries) if len(w) <= 64]
+        shown = word.replace("\u0120", " ")
+        if len(shown) <= 64 and shown.isascii() and PRE_TOKEN.fullmatch(shown):
+            words.setdefault(shown)
+    words, table = list(words)[:entries], {}
     for at in range(0, len(words), 4096):
         part = words[at : at + 4096]
         table.update(zip(part, (len(e.ids) for e in tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
