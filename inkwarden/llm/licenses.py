@@ -9,6 +9,8 @@ a long match, so the automaton runs there alone.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Sequence
 from itertools import repeat
 
 import numpy as np
@@ -16,27 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwarden.llm.license_texts import TEMPLATES
 from inkwarden.llm.runtime import bound_batches, plain_words, text_of
 
 #: (phrase, label): the fixed phrases whose places are counted.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: (label, text): short notices and opening passages of well-known licences.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-)
-
-
 class Automaton:
-    """Generalised suffix automaton over token lists; `ends[state]` has each template's first end."""
+    """Generalised suffix automaton over token lists; `ends[state]` has all ends of the state's strings in each
+    template, in order."""
 
     def __init__(self, templates: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
@@ -45,11 +35,13 @@ class Automaton:
             last = 0
             for end, token in enumerate(tokens, 1):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, end)
+                self.ends[last].setdefault(number, set()).add(end)
         for s in sorted(range(1, len(self.length)), key=lambda x: -self.length[x]):
-            up = self.ends[self.link[s]]
-            for number, end in self.ends[s].items():
-                up[number] = min(end, up.get(number, end))
+            if self.link[s] > 0:
+                up = self.ends[self.link[s]]
+                for number, places in self.ends[s].items():
+                    up.setdefault(number, set()).update(places)
+        self.ends = [{number: sorted(places) for number, places in x.items()} for x in self.ends]
 
     def _state(self, length: int, link: int, after: dict[int, int]) -> int:
         self.next.append(after)
@@ -112,7 +104,8 @@ class Scanner:
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[dict]:
         """Chains of (end, length, state): in one template both positions move on, by a gap of at most
-        `gap` words more than the match; one span per chain that covers enough of the template."""
+        `gap` words more than the match; a match that the template repeats takes its next place in the chain.  One
+        span per chain that covers enough of the template."""
         open_: dict[int, list] = {}
         done = []
 
@@ -121,13 +114,17 @@ class Scanner:
             done.append((number, start, end, min(1.0, covered / self.sizes[number])))
 
         for end, length, state in sorted(matches):
-            for number, t_end in self.automaton.ends[state].items():
+            for number, places in self.automaton.ends[state].items():
+                t_end = places[0]
                 if chain := open_.get(number):
+                    later = bisect_right(places, chain[3])
+                    t_end = places[later] if later < len(places) else places[-1]
                     lost = max(0, chain[1] - (end - length), chain[3] - (t_end - length))  # overlap counts once
                     if length > lost and end - length - chain[1] <= self.gap and chain[3] < t_end:
                         open_[number] = [chain[0], end, chain[2] + length - lost, t_end]
                         continue
                     close(number)
+                    t_end = places[0]
                 open_[number] = [end - length, end, length, t_end]
         for number in list(open_):
             close(number)
@@ -168,7 +165,7 @@ class Scanner:
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,coverage:double>>"
 
 
-def scan(df: DataFrame, text: str = "text", out: str = "license") -> DataFrame:
+def scan(df: DataFrame, text: str = "text", out: str = "license", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """df with the struct `out` (RESULT): words, places of PHRASES and their first and last word, base
     labels, all labels (distinct, sorted, comma-joined), score (the largest coverage of a template
     by a chain, 0 to 1) and the covered spans (word offsets, end exclusive).
@@ -182,7 +179,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "license") -> DataFrame:
     @F.pandas_udf(RESULT)
     def scans(texts: pd.Series) -> pd.DataFrame:
         if not state:
-            state.append(Scanner())
+            state.append(Scanner(templates=templates))
         rows = pd.DataFrame([state[0].scan(t) for t in texts], columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
         return rows.astype({"n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64", "score": "float64"})
 
