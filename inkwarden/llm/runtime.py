@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_id(df: DataFrame, name: str, tag: str) -> DataFrame:
+    """df with a column `name` that tells its rows apart and reads the same each time: of rows of Parquet files the
+    file and the place in it, otherwise a running number in a copy that is written out."""
+    try:
+        place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+        return df.withColumn(name, place).select(*df.columns, name)
+    except AnalysisException:
+        return materialize(df.withColumn(name, F.monotonically_increasing_id().cast("string")), tag)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Collects the folders that materialize writes inside the block and removes, at its end, those that are

@@ -24,6 +24,7 @@ from inkwarden.llm.runtime import bound_batches, materialize, text_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 ROOM = 512
+EDGES = 500_000
 _CHUNK, _ROWS = 1 << 16, 1 << 16
 
 
@@ -129,7 +130,7 @@ def _edges(batches: Iterator[pd.DataFrame], radius: int, room: int) -> Iterator[
 def links(ids: DataFrame, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
     """Spanning edges (a, b), a > b, of the graph on ids.rep whose links are distances <= radius of
     ids.fp.  Fingerprints must be distinct."""
-    keyed = lambda df, masks: df.withColumn("mask", F.explode(masks)).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).select("mask", "key", "fp", "rep")
+    keyed = lambda df, masks: df.select("fp", "rep", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).select("mask", "key", "fp", "rep")
     level = keyed(ids, F.array(*(F.lit(m) for m in child_masks(0, radius))))
     edges, depth, masks = None, 0, child_masks(0, radius)
     while True:
@@ -144,17 +145,39 @@ def links(ids: DataFrame, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
         masks = [r["mask"] for r in crowded.select("mask").distinct().collect()]  # masks of a level: 15 ** depth at most
         if not masks or free == 0 and most == 0:
             return edges.distinct()
-        table = F.create_map(*(x for m in masks for x in (F.lit(m), F.array(*map(F.lit, child_masks(m, radius))))))
-        level = keyed(crowded.select(F.col("b").alias("fp"), F.col("a").alias("rep"), F.col("mask").alias("from")), F.element_at(table, F.col("from")))
+        # A row for each crowded mask of a level: 15 ** depth at most, at radius 3.
+        table = ids.sparkSession.createDataFrame([(m, child_masks(m, radius)) for m in masks], "mask long, masks array<long>")
+        level = keyed(crowded.select(F.col("b").alias("fp"), F.col("a").alias("rep"), "mask").join(F.broadcast(table), "mask"), F.col("masks"))
         level = level.dropDuplicates(["mask", "fp"])
         masks = [c for m in masks for c in child_masks(m, radius)]
         depth += 1
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The components of one task's edges: each node that isn't its component's smallest, and that node."""
+    parts = [np.stack([x["a"].to_numpy(np.int64), x["b"].to_numpy(np.int64)]) for x in batches if len(x)]
+    if not parts:
+        return
+    nodes, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    a, b = ends
+    while len(apart := np.flatnonzero(label[a] != label[b])):
+        a, b = a[apart], b[apart]
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        label = _flat(label)
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b): each node that isn't its component's smallest, and that smallest node.  Alternating
-    large-star and small-star rounds until nothing changes; each round is written out."""
-    state, seen, turn = materialize(edges.select("a", "b").distinct(), "stars"), None, 0
+    """(a, b): each node that isn't its component's smallest, and that smallest node.  Tasks of about EDGES edges
+    first replace theirs by stars; then alternating large-star and small-star rounds until nothing changes.  Each
+    round is written out."""
+    edges = materialize(edges.select("a", "b").distinct(), "edges")
+    few = edges.coalesce(1 + edges.count() // EDGES).mapInPandas(_stars, "a long, b long")
+    state, seen, turn = materialize(few.distinct(), "stars"), None, 0
     while True:
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(mark) == seen or not mark["n"]:
@@ -189,6 +212,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     roots = components(links(ids.select("fp", F.col("fp").alias("rep")), radius))
     found = ids.join(roots, F.col("fp") == F.col("a"), "left").select(F.col("fp").alias("f"), "least", F.coalesce("b", "fp").alias("root"))
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = found.join(least, "root").select("f", "component_id")
+    # Written out, so that the join below is alone in its stage and a common print's rows can be split.
+    found = materialize(found.join(least, "root").select("f", "component_id"), "simhash-found")
     out = prints.join(found, F.col("fp") == F.col("f"))
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
