@@ -1,7 +1,7 @@
 """URL filters: domain and path rules first, a trained classifier for the rest.
 
 The classifier is a logistic regression on hashed character n-grams of host and path, fitted
-in numpy on the driver from a small labelled URL table and applied batch by batch.  Its weights are
+in numpy on the driver from a small labelled URL table and applied batch by batch to the urls that no rule decides.  Its weights are
 `2 ** BITS` floats whatever the input's size, so they can always be broadcast.
 """
 
@@ -30,22 +30,50 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-BAD_WORDS = ("casino", "casino-win", "free-bets", "bets", "poker", "slots", "cheap-pills", "pills", "adult", "adult-x", "xxx", "porn", "spam", "spam-farm", "ads", "ads-track", "track", "click-win", "free-money", "payday-loan")
-GOOD_WORDS = ("news", "library", "garden", "school", "weather", "recipes", "history", "museum", "science", "travel", "music", "city", "books", "health", "sport", "university", "forum", "archive", "theater", "thing")
+#: Words of the labelled hosts, by family.
+BAD_WORDS = (
+    "casinos", "casinoroyale", "megacasino", "casinobonus", "onlinecasino", "casinoclub", "betting", "sportsbet", "betnow", "livebet", "bettips", "bets24",
+    "pokerroom", "pokerbonus", "onlinepoker", "pokerchips", "slotmachine", "megaslots", "slotbonus", "luckyslots", "jackpots", "jackpotcity", "bigjackpot", "jackpotparty",
+    "pillstore", "dietpills", "pillshop", "pharmapills", "viagrashop", "genericviagra", "viagraonline", "cialisviagra", "adultchat", "adultvideo", "adults-only", "adultdating",
+    "xxxvideo", "xxxtube", "freexxx", "xxxcams", "pornhub", "freeporn", "porntube", "pornstars", "sexcams", "livesex", "sexchat", "sexshop",
+    "spammers", "spamlist", "bulkspam", "spamlinks", "linkfarms", "clickfarm", "contentfarm", "farmlinks", "adserver", "adsnetwork", "popads", "adsclick", "tracker", "adtracker", "trackingpixel", "clicktrack",
+    "paydayloans", "fastloans", "instantloan", "loanoffer", "cheapmeds", "cheaprolex", "cheap-viagra", "cheaploans", "freemoney", "free-prizes", "freespins", "freegift", "winmoney", "winbig", "prize-winner", "winprizes",
+)
+GOOD_WORDS = (
+    "newsroom", "dailynews", "newspaper", "localnews", "citylibrary", "librarian", "library-online", "publiclibrary", "gardening", "gardens", "mygarden", "gardenclub",
+    "schoolbook", "highschool", "musicschool", "schools", "weathermap", "cityweather", "weather24", "weatherstation", "recipes", "recipebook", "bestrecipes", "dailyrecipe",
+    "historymuseum", "historybook", "localhistory", "arthistory", "artmuseum", "museumshop", "museums", "citymuseum", "sciencemag", "science-news", "computerscience", "scienceclub",
+    "travelguide", "traveling", "citytravel", "travelbook", "musicians", "livemusic", "musicroom", "classicmusic", "bookshop", "bookclub", "handbooks", "cookbook",
+    "healthcare", "publichealth", "healthguide", "healthcentre", "university", "universities", "openuniversity", "universitypress", "forums", "techforum", "forumonline", "gameforum",
+    "archives", "webarchive", "cityarchive", "archive-search", "theaterclub", "theaters", "citytheater", "theaterguide", "footballclub", "football", "footballnews", "sportsclub", "hospital", "cityhospital", "hospitals", "kitchenware", "kitchens", "mykitchen", "filmclub", "films",
+)
 _PREFIXES = ("", "www.", "blog.", "m.")
 _ENDS = ("com", "net", "org")
 _PATHS = ("/en/1042", "/de/20711.html", "/fr/355/", "/es/8120")
+_NAMES = 100
 
 
-def labelled_urls() -> list[tuple[str, str, int]]:
+def invented_names(count: int = _NAMES) -> list[str]:
+    """Names made of syllables by rule: hosts of which nothing is known are allowed."""
+    parts = [a + b for a in ("b", "ch", "d", "f", "gr", "l", "m", "n", "pr", "r", "s", "t", "th", "v", "wh") for b in ("a", "an", "at", "e", "ent", "er", "in", "ing", "o", "ou")]
+    pick = lambda i, k: parts[zlib.crc32(f"{i}:{k}".encode()) % len(parts)]
+    return ["".join(pick(i, k) for k in range(2 + i % 3)) for i in range(count)]
+
+
+def labelled_urls(bad: Sequence[str] = BAD_WORDS, good: Sequence[str] = GOOD_WORDS, names: int = _NAMES) -> list[tuple[str, str, int]]:
     """(host, path, 1 for block): each word under each prefix and ending, with paths in turn, so that
-    words alone tell the classes apart and prefixes, endings and paths don't."""
-    return [
+    words alone tell the classes apart and prefixes, endings and paths don't; invented names once each."""
+    hosts = list(product(_PREFIXES, _ENDS, ("", "example.")))
+    rows = [
         (f"{prefix}{word}.{domain}{end}", _PATHS[(i + k) % len(_PATHS)], label)
-        for label, words in ((1, BAD_WORDS), (0, GOOD_WORDS))
+        for label, words in ((1, bad), (0, good))
         for k, word in enumerate(words)
-        for i, (prefix, end, domain) in enumerate(product(_PREFIXES, _ENDS, ("", "example.")))
+        for i, (prefix, end, domain) in enumerate(hosts[k % 3 :: 3])
     ]
+    for k, name in enumerate(invented_names(names)):
+        prefix, end, domain = hosts[k % len(hosts)]
+        rows.append((f"{prefix}{name}.{domain}{end}", _PATHS[k % len(_PATHS)], 0))
+    return rows
 
 
 def host_of(url: Column) -> Column:
@@ -104,9 +132,10 @@ def score(host: str, path: str, weights: np.ndarray, bias: float) -> float:
 
 
 def judge(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, model: tuple[np.ndarray, float] | None = None, threshold: float = 0.5) -> DataFrame:
-    """df with host, path, rule, url_score (probability of block) and verdict (allow or block).
+    """df with host, path, rule, url_score (probability of block; null where a rule decides) and verdict
+    (allow or block).
 
-    The rule's verdict stands; where none fits, url_score >= threshold blocks.  Null urls and urls
+    The rule's verdict stands; only where none fits is the url scored, and url_score >= threshold blocks.  Null urls and urls
     without :// have empty host and path and an empty feature set: the bias alone judges them.
     Repeated rows are judged alike; an empty table stays empty; columns of these names are replaced.
     """
@@ -117,10 +146,10 @@ def judge(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RU
     @F.pandas_udf("double")
     def scores(hosts: pd.Series, paths: pd.Series) -> pd.Series:
         w, b = weights.value
-        return pd.Series([score(h, p, w, b) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
+        return pd.Series([None if h is None else score(h, p, w, b) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
 
     out = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
-    out = out.withColumns({"rule": rule, "verdict": action}).withColumn("url_score", scores("host", "path"))
+    out = out.withColumns({"rule": rule, "verdict": action}).withColumn("url_score", F.nanvl(scores(F.when(F.col("rule").isNull(), F.col("host")), F.col("path")), F.lit(None)))
     judged = F.when(F.col("url_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", F.coalesce("verdict", judged))
