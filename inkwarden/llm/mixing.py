@@ -111,7 +111,7 @@ def _tree(units: DataFrame, of: tuple[str, ...], id_type: str, count: str, most:
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: float = 3.0, seed: int = 11) -> DataFrame:
-    """One row per row of df: key, source, size, source_size, target, copies, taken (size * copies).
+    """One row per row of df: key, size, source_size, target, taken (size * copies), source, copies.
 
     Size is the text's words; null and empty texts have size 0, take nothing, and a null source is a
     source of its own.  Rows alike in key, source and size share the copies due to them as evenly as can
@@ -156,4 +156,4 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     settled = settled.unionByName(done).unionByName(last(carried, seed - 2).select(*of, F.col("unit.id").alias("id"), "hit"))
     rows = settled.select(*of, "id", (F.col("id.whole") + F.col("hit")).alias("extra"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id.m") - 1)).alias("j"))
     rows = rows.withColumn("copies", F.col("id.base") + (F.col("j") < F.col("extra")).cast("long"))
-    return rows.select(F.col("id.k").alias(key), "source", F.col("id.size").alias("size"), "source_size", "target", "copies", (F.col("id.size") * F.col("copies")).alias("taken"))
+    return rows.select(F.col("id.k").alias(key), F.col("id.size").alias("size"), "source_size", "target", (F.col("id.size") * F.col("copies")).alias("taken"), "source", "copies")
