@@ -1,7 +1,8 @@
 """PDF as far as the standard library goes: content streams, plain or deflated, and the info dictionary.
 
-Fonts with encodings of their own, layers and rendering need a library; `spans.classify_spans` takes such
-a library's spans as a table.
+A content stream's operators are followed with their graphics state, so that text is told apart by how it is
+drawn.  Fonts with encodings of their own, object streams, opacity, layers and rendering need a library;
+`spans.classify_spans` takes such a library's spans as a table.
 """
 
 from __future__ import annotations
@@ -9,14 +10,18 @@ from __future__ import annotations
 import re
 import zlib
 
+from inkwarden.sources.spans import WHITE
+
 # Fixed value: the most pages.
 MOST_PAGES = 500
 MOST_STREAM = 1 << 26
 
 _STREAM = re.compile(rb"<<(.{0,4096}?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.DOTALL)
-_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|')", re.DOTALL)
-_BLOCK = re.compile(rb"\bq\b|\bQ\b")
-_NO_AREA = re.compile(rb"[\d.]+\s+[\d.]+\s+0(?:\.0*)?\s+0(?:\.0*)?\s+re\s+W")
+_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|[\[\]]|/[^\s/\[\]()<>]*|[^\s/\[\]()<>]+", re.DOTALL)
+_DRAWS = re.compile(rb"[\])>]\s*(?:T[jJ]|['\"])(?:\s|$)")
+_BOX = re.compile(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s*\]")
+# In an array of strings, a step back by more than this many thousandths of the font's size parts words.
+_WORD_STEP = -200
 _INFO = re.compile(rb"/(Title|Author|Subject|Keywords|Creator|Producer|CreationDate|ModDate)\s*\(((?:[^()\\]|\\.)*)\)")
 _SCRIPT = re.compile(rb"/JS\s*\(((?:[^()\\]|\\.)*)\)")
 _XMP = re.compile(rb"<x:xmpmeta.*?</x:xmpmeta>", re.DOTALL)
@@ -51,34 +56,128 @@ def streams(content: bytes) -> list[bytes]:
     return out
 
 
-def shown(block: bytes) -> list[str]:
-    return [t for raw in _SHOWN.findall(block) if (t := unescape(raw).strip())]
+def _number(token: bytes) -> float:
+    try:
+        return float(token)
+    except ValueError:
+        return 0.0
+
+
+def _string(token: bytes) -> str:
+    if token[:1] == b"(":
+        return unescape(token[1:-1])
+    digits = re.sub(rb"\s", b"", token[1:-1])
+    raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    # Two-byte codes are taken for UTF-16, which most subsets of one plane's letters agree with.
+    return raw.decode("utf-16-be", "replace").lstrip("\ufeff") if raw[:1] in (b"\0", b"\xfe") and len(raw) % 2 == 0 else raw.decode("latin-1")
+
+
+def _joined(items: list) -> str:
+    """Text of an array of strings and steps."""
+    return "".join((" " if x < _WORD_STEP else "") if isinstance(x, float) else _string(x) for x in items)
+
 
+def _white(color: list[float]) -> bool:
+    if len(color) == 4:  # cyan, magenta, yellow, black
+        color = [(1 - c) * (1 - color[3]) for c in color[:3]]
+    return bool(color) and all(abs(c - 1) <= WHITE for c in color)
 
-def split_clipped(stream: bytes) -> tuple[list[str], list[list[str]]]:
-    """(texts drawn normally, texts of each innermost q..Q block that clips to a rectangle without area)."""
-    clipped, rest, start, at = [], b"", None, 0
-    for mark in _BLOCK.finditer(stream):
-        if mark[0] == b"q":
-            start = mark.start()
-        elif start is not None:
-            block = stream[start : mark.end()]
-            if no_area := _NO_AREA.search(block):
-                rest += stream[at:start]
-                at = mark.end()
-                if texts := shown(block[no_area.end() :]):
-                    clipped.append(texts)
-            start = None
-    return shown(rest + stream[at:]), clipped
+
+def drawn(stream: bytes, box: tuple[float, float, float, float] | None = None) -> tuple[list[tuple[str, str]], list[list[str]]]:
+    """((method, text) of all text outside of clips without area, texts of each block with such a clip).
+
+    method is 'visible' or how the text is hidden, by the order of spans.span_method.  Text that a block draws before
+    its clip is drawn, and is reported with the block too.  Positions count only where the page isn't transformed.
+    """
+    state = {"size": 12.0, "render": 0, "color": [0.0], "moved": False, "clip": None}
+    levels: list[tuple[dict, list[str]]] = []
+    own: list[str] = []  # texts that this level has drawn
+    out, clipped = [], []
+    operands: list = []
+    array: list | None = None
+    rect = None
+    x = y = scale = 0.0
+
+    def show(text: str) -> None:
+        if not (text := text.strip()):
+            return
+        own.append(text)
+        if state["clip"] is not None:
+            state["clip"].append(text)
+            return
+        inside = box is None or state["moved"] or box[0] <= x <= box[2] and box[1] <= y <= box[3]
+        size = state["size"] * (scale or 1.0)
+        method = (
+            "zero_font" if abs(size) < 1 and size else "invisible_render" if state["render"] == 3 else "clip_render" if state["render"] == 7
+            else "off_page" if not inside else "color_match" if _white(state["color"]) else "visible"
+        )
+        out.append((method, text))
+
+    for match in _TOKEN.finditer(stream):
+        token = match[0]
+        first = token[:1]
+        if token == b"[":
+            array = []
+        elif token == b"]":
+            operands.append(array or [])
+            array = None
+        elif first in (b"(", b"<") and token not in (b"<<", b">>"):
+            (operands if array is None else array).append(token)
+        elif first == b"/" or first in b"+-.0123456789" or token in (b"<<", b">>"):
+            value = token if first in (b"/", b"<", b">") else _number(token)
+            if array is None:
+                operands.append(value)
+            elif isinstance(value, float):
+                array.append(value)
+        else:
+            numbers = [v for v in operands if isinstance(v, float)]
+            last = operands[-1] if operands else None
+            if token == b"q":
+                levels.append((dict(state), own))
+                own = []
+            elif token == b"Q" and levels:
+                state, own = levels.pop()
+            elif token == b"cm":
+                state["moved"] = True
+            elif token == b"re" and len(numbers) >= 4:
+                rect = numbers[-4:]
+            elif token in (b"W", b"W*"):
+                if rect is not None and rect[2] == rect[3] == 0 and state["clip"] is None:
+                    state["clip"] = list(own)
+                    clipped.append(state["clip"])
+            elif token in (b"n", b"f", b"F", b"f*", b"S", b"s", b"B", b"B*", b"b", b"b*"):
+                rect = None
+            elif token == b"BT":
+                x = y = scale = 0.0
+            elif token in (b"Td", b"TD") and len(numbers) >= 2:
+                x, y = x + numbers[-2], y + numbers[-1]
+            elif token == b"Tm" and len(numbers) >= 6:
+                x, y = numbers[-2:]
+                scale = (numbers[-4] ** 2 + numbers[-3] ** 2) ** 0.5
+            elif token == b"Tf" and numbers:
+                state["size"] = numbers[-1]
+            elif token == b"Tr" and numbers:
+                state["render"] = int(numbers[-1])
+            elif token in (b"g", b"rg", b"k", b"sc", b"scn") and numbers:
+                state["color"] = numbers
+            elif token in (b"Tj", b"'", b'"') and isinstance(last, bytes) and last[:1] in (b"(", b"<"):
+                show(_string(last))
+            elif token == b"TJ" and isinstance(last, list):
+                show(_joined(last))
+            operands = []
+    return out, [c for c in clipped if c]
 
 
 def extract(content: bytes) -> dict:
     if len(re.findall(rb"/Type\s*/Page\b", content)) > MOST_PAGES:
         raise ValueError("too many pages")
-    visible, clipped = [], []
-    for page, stream in enumerate((s for s in streams(content) if b"Tj" in s or b"'" in s), 1):
-        texts, gone = split_clipped(stream)
-        visible.append(" ".join(texts))
+    visible, hidden, clipped = [], [], []
+    boxes = {tuple(map(_number, x)) for x in _BOX.findall(content)}
+    box = boxes.pop() if len(boxes) == 1 else None  # of several, it isn't known which a stream's page has
+    for page, stream in enumerate((s for s in streams(content) if _DRAWS.search(s)), 1):
+        texts, gone = drawn(stream, box)
+        visible.append(" ".join(t for method, t in texts if method == "visible"))
+        hidden += [{"location": f"page{page}", "content": t, "method": method} for method, t in texts if method != "visible"]
         clipped += [{"page": page, "content": " ".join(x)} for x in gone]
     metadata = [{"key": _KEYS.get(k, k.lower()), "value": v} for k, v in ((k.decode(), unescape(raw).strip()) for k, raw in _INFO.findall(content)) if v]
     annotations, fields, outline = [], {}, []
@@ -103,6 +202,6 @@ def extract(content: bytes) -> dict:
     if scripts := scripts + [s for raw in _SCRIPT.findall(loose) if (s := unescape(raw).strip())]:
         metadata.append({"key": "_embedded_js", "value": "\n".join(scripts)})
     return {
-        "visible_text": "\n".join(visible).strip(), "clipped_text": clipped, "metadata": metadata, "annotations": annotations,
+        "visible_text": "\n".join(visible).strip(), "hidden_text": hidden, "clipped_text": clipped, "metadata": metadata, "annotations": annotations,
         "form_field_defaults": [{"key": k, "value": v} for k, v in fields.items()],
     }

@@ -89,6 +89,32 @@ def test_pdf():
     assert d["annotations"] == ["jailbreak, a note", "[widget_script:name] f()"] and d["form_field_defaults"] == [{"key": "name", "value": "default"}]
 
 
+def test_pdf_text_is_told_apart_by_how_it_is_drawn():
+    stream = (
+        b"BT /F1 12 Tf 72 700 Td [(Hel) -20 (lo) -300 (world)] TJ <776f726473> Tj <00480069> Tj ET q BT 3 Tr (invisible) Tj ET Q BT (again) ' ET "
+        b"q 1 1 1 rg BT (white) Tj ET Q q 0 0 0 0 k BT (paper) Tj ET Q BT /F1 0.5 Tf (tiny) Tj /F1 12 Tf 7 Tr (clip mode) Tj 0 Tr ET "
+        b"BT 1 0 0 1 -500 20 Tm (far away) Tj ET BT 1 0 0 1 9 9 Tm 1 2 (quoted) \" ET q 2 0 0 2 -900 0 cm BT (scaled) Tj ET Q"
+    )
+    box = (0.0, 0.0, 612.0, 792.0)
+    texts, clipped = pdf.drawn(stream, box)
+    assert [t for m, t in texts if m == "visible"] == ["Hello world", "words", "Hi", "again", "quoted", "scaled"] and not clipped
+    assert [(m, t) for m, t in texts if m != "visible"] == [
+        ("invisible_render", "invisible"), ("color_match", "white"), ("color_match", "paper"), ("zero_font", "tiny"), ("clip_render", "clip mode"), ("off_page", "far away"),
+    ]
+    content = b"%PDF-1.4\n<< /Type /Page /MediaBox [0 0 612 792] >>\n<< /Length 1 >>\nstream\n" + stream + b"\nendstream\n"
+    found = pdf.extract(content)
+    assert found["visible_text"] == "Hello world words Hi again quoted scaled" and len(found["hidden_text"]) == 6
+    assert found["hidden_text"][0] == {"location": "page1", "content": "invisible", "method": "invisible_render"}
+
+
+def test_pdf_clips_follow_the_graphics_state():
+    texts, clipped = pdf.drawn(b"q (early) Tj 0 0 0 0 re W n (late) Tj Q (after) Tj")
+    assert texts == [("visible", "early"), ("visible", "after")] and clipped == [["early", "late"]]
+    texts, clipped = pdf.drawn(b"q 0 0 0 0 re W n q (hidden) Tj Q Q (shown) Tj")
+    assert texts == [("visible", "shown")] and clipped == [["hidden"]]
+    assert pdf.drawn(b"(" * 100_000 + b" q Q [ ( ] TJ") == ([], [])
+
+
 @pytest.fixture(scope="module")
 def inbox(tmp_path_factory):
     d = tmp_path_factory.mktemp("inbox")
