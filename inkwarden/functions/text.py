@@ -51,9 +51,12 @@ def match_spans(text: Column, pattern: Column) -> Column:
 
 def evidence(text: Column, start: Column, end: Column, around: int = 30) -> Column:
     """The match with `around` characters on both sides; the left edge moves on to a word's beginning."""
-    cut = F.greatest(start - around, F.lit(0))
-    before = F.reverse(F.substring(text, F.lit(1), cut))
-    word = F.char_length(F.regexp_extract(before, r"^[\p{L}\p{N}]*", 0))
+    cut, look = F.greatest(start - around, F.lit(0)), 64
+    run = lambda before: F.char_length(F.regexp_extract(F.reverse(before), r"^[\p{L}\p{N}]*", 0))
+    first = F.greatest(cut - look, F.lit(0))
+    near = run(F.substring(text, first + 1, cut - first))
+    # Only a word longer than that sends the search through all of the text before.
+    word = F.when(near < look, near).otherwise(run(F.substring(text, F.lit(1), cut)))
     return strip(F.substring(text, cut - word + 1, end + around - cut + word))
 
 

@@ -10,9 +10,15 @@ from inkwarden.operators import enrich, report
 from inkwarden.sources import files
 
 
-def scan(found: DataFrame) -> DataFrame:
-    """Reports of guarded files; a file that could not be read has an error and no verdict."""
-    extracted = enrich.with_ocr_differences(files.extract(found).withColumn("doc_id", F.col("path")), (F.col("ext") == ".pdf") & (F.col("ocr_text") != ""))
+def scan(found: DataFrame, folder: str | None = None) -> DataFrame:
+    """Reports of guarded files; a file that could not be read has an error and no verdict.  What the files hold
+    is used in many places: with a folder (that all executors share) it is written there first, and each file is
+    parsed once."""
+    held = files.extract(found)
+    if folder is not None:
+        held.write.mode("overwrite").parquet(folder)
+        held = found.sparkSession.read.schema(held.schema).parquet(folder)
+    extracted = enrich.with_ocr_differences(held.withColumn("doc_id", F.col("path")), (F.col("ext") == ".pdf") & (F.col("ocr_text") != ""))
     extracted = enrich.with_unicode_anomalies(extracted)
     errors = extracted.select("doc_id", "error")
     done = report.reports(extracted.select("doc_id", F.col("path").alias("file"), "file_hash"), extracted).join(errors, "doc_id")
@@ -25,7 +31,8 @@ def start(spark: SparkSession, inbox: str, out: str, checkpoint: str) -> Streami
 
     def sink(batch: DataFrame, number: int) -> None:
         # A batch that is run again after a failure overwrites its own folder, so reports never double.
-        scan(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # Readers of `out` pass over folders that begin with an underscore.
+        scan(batch, f"{out}/_extracted/batch={number}").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.read_stream(spark, inbox).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -182,3 +182,9 @@ def test_compressed_text_beyond_the_limit_is_an_error(monkeypatch):
     assert pdf.streams(stream(100)) == [b"x" * 100]
     with pytest.raises(ValueError, match="too large"):
         pdf.streams(stream(101))
+
+
+def test_ingest_parses_each_file_once(spark, inbox, tmp_path):
+    done = ingest.scan(files.read(spark, inbox), str(tmp_path / "held"))
+    assert "MapInPandas" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert done.count() == files.read(spark, inbox).count()
