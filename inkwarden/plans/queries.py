@@ -77,6 +77,19 @@ _HITS_SQL = f"""hits AS (
   UNION ALL SELECT doc_id, kord, ord, location, is_visible, {BASE64.rule_id}, '{BASE64.severity}', '{BASE64.category}',
     list_sum(list_transform(regexp_extract_all(content, '[A-Za-z0-9+/]{{100,}}'), lambda x: length(x) // 4000 + CASE WHEN length(x) % 4000 >= 100 THEN 1 ELSE 0 END)) FROM surfaces WHERE regexp_matches(content, '[A-Za-z0-9+/]{{100,}}'))"""
 _NOISY = quoted(NOISY_ON_VISIBLE)
+_BOTH_ENDS = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
+#: Each match with its place: pieces between matches and matches interleave.  The lookahead is tested on what
+#: follows; a run of base64 characters is cut every 4000, and only its last piece takes the padding.
+_MATCHES_SQL = f"""raw AS (
+  SELECT s.*, rule_id, severity, category, string_split_regex(content, '(?i)' || regex) AS pieces, regexp_extract_all(content, regex, 0, 'i') AS hits FROM surfaces s, (SELECT * FROM rules
+    UNION ALL VALUES ({ACT_AS.rule_id}, '\\bact\\s+as\\b', '{ACT_AS.severity}', '{ACT_AS.category}'), ({BASE64.rule_id}, '[A-Za-z0-9+/]{{100,}}={{0,2}}', '{BASE64.severity}', '{BASE64.category}')) r WHERE regexp_matches(content, regex, 'i')),
+places AS (SELECT * EXCLUDE (pieces, hits), hits[n] AS hit, (list_sum(list_transform(pieces[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:n - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS n FROM raw)),
+cut AS (SELECT * EXCLUDE (hit), s + length(hit) AS e FROM places WHERE rule_id <> {BASE64.rule_id} AND (rule_id <> {ACT_AS.rule_id} OR NOT regexp_matches(substr(content, s + length(hit) + 1), {PL.quote("^(?:" + _BENIGN + ")")}, 'i'))
+  UNION ALL SELECT * EXCLUDE (hit, s, run, c), s + 4000 * c AS s, CASE WHEN 4000 * (c + 1) >= run THEN s + length(hit) ELSE s + 4000 * (c + 1) END AS e
+    FROM (SELECT *, unnest(range(0, (run + 3999) // 4000)) AS c FROM (SELECT *, length(rtrim(hit, '=')) AS run FROM places WHERE rule_id = {BASE64.rule_id})) WHERE least(4000, run - 4000 * c) >= 100),
+matches AS (SELECT * EXCLUDE (edge, word), {_BOTH_ENDS.format("substr(content, edge - word + 1, e + 30 - edge + word)")} AS evidence
+  FROM (SELECT *, greatest(s - 30, 0) AS edge, length(regexp_extract(left(content, greatest(s - 30, 0)), '[\\p{{L}}\\p{{N}}]*$')) AS word FROM cut))"""
 
 
 @query(on_planted("SELECT doc_id, rule_id, severity, category, sum(n)::BIGINT AS n FROM hits WHERE n > 0 GROUP BY ALL", _RULES_SQL, _HITS_SQL))
@@ -109,7 +122,7 @@ for _name, _rule in (("act_as_lookahead", ACT_AS), ("base64_blocks", BASE64)):
     QUERIES[_name], ORACLE_SQL[_name] = _one_rule(_rule)
 
 
-@query()
+@query(on_planted("SELECT doc_id, location, rule_id, s::INTEGER AS start, e::INTEGER AS \"end\", evidence FROM matches", _RULES_SQL, _MATCHES_SQL))
 def pattern_evidence(spark, sf_dir):
     return patterns.pattern_findings(surfaces.surfaces(corpus(spark, sf_dir))).select("doc_id", "location", "rule_id", "start", "end", "evidence")
 
@@ -137,7 +150,7 @@ _STRICT, _IMPERATIVE = PL.quote(P.STRICT), PL.quote(P.IMPERATIVE)
 
 
 def _found(kind: str, severity: str, category: str, description: str, evidence: str, location: str, confidence: float, where: str = "true") -> str:
-    return f"SELECT doc_id, '{severity}' AS severity, '{category}' AS category, {description} AS description, {evidence} AS evidence, {location} AS location, {confidence}::DOUBLE AS confidence FROM planted WHERE kind = '{kind}' AND {where}"
+    return f"SELECT doc_id, '{severity}' AS severity, '{category}' AS category, {description} AS description, {evidence} AS evidence, {location} AS location, {confidence}::DOUBLE AS confidence, ord FROM planted WHERE kind = '{kind}' AND {where}"
 
 
 _STRIP = "regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')"
@@ -145,16 +158,16 @@ _TLD = "CASE " + " ".join(f"WHEN host LIKE '%{t}' THEN '{t}'" for t in P.SUSPICI
 HEURISTIC_SQL = {
     "hidden_text_ratio": f"""SELECT doc_id, CASE WHEN r > 0.30 THEN 'critical' ELSE 'medium' END AS severity, 'hidden_text_ratio' AS category,
       'Hidden content is ' || round_even(r * 100, 0)::BIGINT || '% of visible text length' AS description, 'hidden=' || h || ' chars, visible=' || v || ' chars' AS evidence, 'document' AS location,
-      CASE WHEN r > 0.30 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence
+      CASE WHEN r > 0.30 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence, 0 AS ord
       FROM (SELECT vis.doc_id, coalesce(h, 0)::BIGINT AS h, greatest(length(visible_text), 1) AS v, coalesce(h, 0)::DOUBLE / greatest(length(visible_text), 1) AS r FROM vis
         LEFT JOIN (SELECT doc_id, sum(length(text)) AS h FROM planted WHERE kind IN ('ocg', 'actual', 'clipped', 'transparent') OR (kind = 'hidden' AND aux NOT IN ('ocr_only', 'extraction_only')) GROUP BY doc_id) x ON x.doc_id = vis.doc_id) WHERE r > 0.12""",
     "unicode_tags": _found("anomaly", "critical", "unicode_tags", "'Unicode tag characters found (1 occurrences) — no legitimate use'", "''", "'document'", 1.0, "aux = 'unicode_tag'"),
     "bidi_injection": _found("anomaly", "high", "bidi_injection", "'Bidirectional text override with injection-like logical content'", "left(text, 200)", "'document'", 0.75, f"aux = 'bidi_override' AND regexp_matches(text, {_IMPERATIVE}, 'i')"),
     "ocg_hidden_layer": _found("ocg", "high", "ocg_hidden_layer", "'Hidden OCG layer ''' || aux || ''' contains text'", "left(text, 200)", "'ocg_layer:' || aux", 0.85),
     "actual_text_substitution": _found("actual", "high", "actual_text_substitution", "'PDF /ActualText attribute substitutes different content from visual rendering'", "'visual=''' || aux || ''' | extracted=''' || text || ''''", "'actual_text:page1'", 0.9),
-    "clipped_text": "SELECT doc_id, 'high' AS severity, 'clipped_text' AS category, 'Text found in clipped (invisible) regions (' || sum(length(text)) || ' chars)' AS description, left(arg_min(text, ord), 200) AS evidence, 'document' AS location, 0.8::DOUBLE AS confidence FROM planted WHERE kind = 'clipped' GROUP BY doc_id",
-    "transparent_text": f"SELECT doc_id, 'high' AS severity, 'transparent_text' AS category, 'Near-invisible text (alpha=' || printf('%.3f', aux::DOUBLE) || ')' AS description, left({_STRIP}, 200) AS evidence, 'transparent:page1' AS location, 0.85::DOUBLE AS confidence FROM planted WHERE kind = 'transparent' AND length({_STRIP}) >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) <= 20",
-    "font_encoding_anomaly": "SELECT doc_id, 'medium' AS severity, 'font_encoding_anomaly' AS category, 'Custom/unusual font encoding detected (' || count(DISTINCT aux) || ' fonts) — glyph-to-text mapping may differ from visual' AS description, array_to_string(list_sort(list_distinct(list(aux)))[1:5], ', ') AS evidence, 'document' AS location, 0.35::DOUBLE AS confidence FROM planted WHERE kind = 'font' GROUP BY doc_id",
+    "clipped_text": "SELECT doc_id, 'high' AS severity, 'clipped_text' AS category, 'Text found in clipped (invisible) regions (' || sum(length(text)) || ' chars)' AS description, left(arg_min(text, ord), 200) AS evidence, 'document' AS location, 0.8::DOUBLE AS confidence, 0 AS ord FROM planted WHERE kind = 'clipped' GROUP BY doc_id",
+    "transparent_text": f"SELECT doc_id, 'high' AS severity, 'transparent_text' AS category, 'Near-invisible text (alpha=' || printf('%.3f', aux::DOUBLE) || ')' AS description, left({_STRIP}, 200) AS evidence, 'transparent:page1' AS location, 0.85::DOUBLE AS confidence, ord FROM planted WHERE kind = 'transparent' AND length({_STRIP}) >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) <= 20",
+    "font_encoding_anomaly": "SELECT doc_id, 'medium' AS severity, 'font_encoding_anomaly' AS category, 'Custom/unusual font encoding detected (' || count(DISTINCT aux) || ' fonts) — glyph-to-text mapping may differ from visual' AS description, array_to_string(list_sort(list_distinct(list(aux)))[1:5], ', ') AS evidence, 'document' AS location, 0.35::DOUBLE AS confidence, 0 AS ord FROM planted WHERE kind = 'font' GROUP BY doc_id",
     "tracked_change_injection": _found("tracked", "high", "tracked_change_injection", "'Deleted tracked change contains imperative/injection-like content (author: unknown)'", "left(text, 200)", "'tracked_change:' || aux", 0.75, f"regexp_matches(text, {_STRICT}, 'i')"),
     "field_code_injection": _found("field", "medium", "field_code_injection", "'DOCX field code contains non-standard imperative instruction'", f"left({_STRIP}, 200)", "'field_code'", 0.65, f"regexp_matches(text, {_STRICT}, 'i')"),
     "embedded_javascript": _found("metadata", "high", "embedded_javascript", "'PDF contains document-level JavaScript — rarely legitimate, high injection risk'", "left(text, 200)", "'pdf:/JS'", 0.9, "aux = '_embedded_js' AND text <> ''"),
@@ -162,20 +175,28 @@ HEURISTIC_SQL = {
     "metadata_injection": _found("metadata", "medium", "metadata_injection", "'Metadata field ''' || aux || ''' contains imperative/instruction-like content'", "left(text, 200)", "'metadata:' || aux", 0.6, f"aux NOT IN ({_SKIP}) AND length(text) >= 10 AND regexp_matches(text, {_STRICT}, 'i')"),
     "form_field_injection": _found("form", "high", "form_field_injection", "'Form field ''' || aux || ''' has long imperative default value'", "left(text, 200)", "'form_field:' || aux", 0.75, f"length(text) > 100 AND regexp_matches(text, {_IMPERATIVE}, 'i')"),
     "ocr_divergence": """SELECT doc_id, 'medium' AS severity, 'ocr_divergence' AS category, 'OCR text diverges significantly from text-layer extraction (' || n || ' chars differ)' AS description,
-      n || ' chars differ. Sample: ' || left(s, 300) AS evidence, 'document' AS location, 0.65::DOUBLE AS confidence FROM (SELECT doc_id, sum(length(text)) AS n, string_agg(left(text, 120), ' … ' ORDER BY ord) FILTER (i < 3) AS s
+      n || ' chars differ. Sample: ' || left(s, 300) AS evidence, 'document' AS location, 0.65::DOUBLE AS confidence, 0 AS ord FROM (SELECT doc_id, sum(length(text)) AS n, string_agg(left(text, 120), ' … ' ORDER BY ord) FILTER (i < 3) AS s
         FROM planted WHERE kind = 'hidden' AND aux IN ('ocr_only', 'extraction_only') AND doc_id IN (SELECT doc_id FROM planted WHERE kind = 'ocr' AND text <> '') GROUP BY doc_id) WHERE n > 500""",
     "annotation_injection": _found("annotation", "high", "annotation_injection", "'Annotation contains imperative/instruction-like content'", "left(text, 200)", "'annotation:' || i", 0.7, f"length(text) > 20 AND regexp_matches(text, {_STRICT}, 'i')"),
     "qr_code_content": _found("hidden", "high", "qr_code_content", "'QR code decoded from embedded image — content bypasses text-layer scanning'", "left(text, 200)", "'page1:' || ord", 0.9, "aux = 'qr_code'"),
-    "suspicious_url": f"""SELECT doc_id, CASE WHEN why LIKE '%IP%' OR why LIKE '%credential%' OR why LIKE '%exfil%' THEN 'high' ELSE 'medium' END AS severity, 'suspicious_url' AS category, 'Suspicious URL: ' || why AS description, left(url, 200) AS evidence, 'document' AS location, 0.75::DOUBLE AS confidence
-      FROM (SELECT doc_id, url, array_to_string(list_filter([CASE WHEN regexp_matches(url, '^https?://\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}[:/]', 'i') THEN 'direct IP address — no domain' END,
+    "suspicious_url": f"""SELECT doc_id, CASE WHEN why LIKE '%IP%' OR why LIKE '%credential%' OR why LIKE '%exfil%' THEN 'high' ELSE 'medium' END AS severity, 'suspicious_url' AS category, 'Suspicious URL: ' || why AS description, left(url, 200) AS evidence, 'document' AS location, 0.75::DOUBLE AS confidence, ord
+      FROM (SELECT doc_id, url, ord, array_to_string(list_filter([CASE WHEN regexp_matches(url, '^https?://\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}[:/]', 'i') THEN 'direct IP address — no domain' END,
           CASE WHEN host IN ({quoted(P.SHORTENERS)}) THEN 'URL shortener (' || host || ')' END, CASE WHEN {_TLD} IS NOT NULL THEN 'suspicious TLD (' || {_TLD} || ')' END,
           CASE WHEN regexp_matches(url, {PL.quote(P.CREDENTIAL_PARAM)}, 'i') THEN 'credential/token query param' END,
           CASE WHEN contains(url, '?') AND length(url) - instr(url, '?') > 200 THEN 'unusually long query string (possible data exfiltration)' END], lambda x: x IS NOT NULL), '; ') AS why
-        FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '(?i)^[a-z]+://([^/?#]*)', 1)), '^[w.]+', '') AS host FROM (SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(content, {PL.quote(P.URL)}, 0, 'i')), '[.,)]+$', '') AS url
-          FROM (SELECT doc_id, visible_text AS content FROM vis UNION ALL SELECT doc_id, text FROM planted WHERE kind IN ('hidden', 'annotation', 'metadata'))))) WHERE why <> ''""",
+        FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '(?i)^[a-z]+://([^/?#]*)', 1)), '^[w.]+', '') AS host FROM (SELECT doc_id, url, min(place) AS ord FROM (SELECT doc_id, regexp_replace(unnest(found), '[.,)]+$', '') AS url, o * 1000 + generate_subscripts(found, 1) AS place
+          FROM (SELECT doc_id, o, regexp_extract_all(content, {PL.quote(P.URL)}, 0, 'i') AS found
+          FROM (SELECT doc_id, 0 AS o, visible_text AS content FROM vis UNION ALL SELECT doc_id, CASE kind WHEN 'hidden' THEN 100 WHEN 'annotation' THEN 200 ELSE 300 END + ord, text FROM planted WHERE kind IN ('hidden', 'annotation', 'metadata')))) GROUP BY doc_id, url))) WHERE why <> ''""",
 }
 _HEUR = "heur AS (" + " UNION ALL ".join(f"SELECT {_PRINTED} FROM ({s})" for s in HEURISTIC_SQL.values()) + ")"
 
+_CHECKED = "checked AS (" + " UNION ALL ".join(f"SELECT {_PRINTED}, {i} AS no, ord FROM ({q})" for i, q in enumerate(HEURISTIC_SQL.values())) + ")"
+#: Findings of both layers in report order (l, o1 to o4).
+_LISTED = f"""listed AS (SELECT doc_id, 0 AS l, kord AS o1, ord AS o2, rule_id AS o3, s AS o4, 'pattern' AS layer, severity, category, 'Pattern match: ' || category || ' in ' || location AS description, evidence, location,
+    CASE WHEN is_visible AND category IN ({_NOISY}) THEN 0.35 ELSE 0.85 END::DOUBLE AS confidence FROM matches
+  UNION ALL SELECT doc_id, 1, no, ord, 0, 0, 'heuristic', severity, category, description, evidence, location, confidence FROM checked)"""
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
+
 
 def _check(category: str):
     def run(spark, sf_dir):
@@ -197,16 +218,17 @@ _ALL_SQL = f"""found AS (SELECT doc_id, 'pattern' AS layer, severity, category,
   UNION ALL SELECT doc_id, 'heuristic', severity, category, confidence, 1 FROM heur)"""
 
 
-def _score_sql(cleared: str) -> str:
+def _score_sql(cleared: str, semantic: str = "SELECT NULL, NULL, NULL, NULL, NULL, NULL WHERE false") -> str:
+    part = lambda layer, cap: f"least(coalesce(sum(n * ({_POINTS}) * confidence) FILTER (layer = '{layer}' AND confidence >= 0.5), 0), {cap})"
     return on_planted(
         f"""SELECT doc_id, score::INTEGER AS score, CASE WHEN score <= 20 THEN 'clean' WHEN score <= 44 THEN 'suspicious' ELSE 'malicious' END AS verdict, n_findings FROM (
           SELECT doc_id, n_findings, CASE WHEN cleared THEN CASE WHEN direct THEN greatest(21, least(30, raw)) ELSE least(raw, 20) END
-            WHEN critical OR macro THEN greatest(raw, 30) ELSE raw END AS score FROM (
-            SELECT d.doc_id, {cleared} AS cleared, least(floor((coalesce(p, 0) + coalesce(h, 0)) * CASE WHEN {cleared} THEN 0.5 ELSE 1 END)::INTEGER, 100) AS raw,
-              coalesce(critical, false) AS critical, coalesce(direct, false) AS direct, coalesce(n, 0)::BIGINT AS n_findings, EXISTS (SELECT 1 FROM planted x WHERE x.doc_id = d.doc_id AND x.kind = 'macro') AS macro
-            FROM documents d LEFT JOIN (SELECT doc_id, sum(n) AS n, least(coalesce(sum(n * ({_POINTS}) * confidence) FILTER (layer = 'pattern' AND confidence >= 0.5), 0), 40) AS p,
-                least(coalesce(sum(n * ({_POINTS}) * confidence) FILTER (layer = 'heuristic' AND confidence >= 0.5), 0), 60) AS h,
-                bool_or(confidence >= 0.5 AND severity = 'critical') AS critical, bool_or(confidence >= 0.5 AND severity = 'critical' AND category IN ({quoted(P.DIRECT_CATEGORIES)})) AS direct FROM found GROUP BY doc_id) f ON f.doc_id = d.doc_id))""",
+            ELSE greatest(raw, CASE WHEN ordered THEN 45 WHEN critical OR macro THEN 30 ELSE 0 END) END AS score FROM (
+            SELECT d.doc_id, {cleared} AS cleared, least(floor((coalesce(p, 0) + coalesce(h, 0)) * CASE WHEN {cleared} THEN 0.5 ELSE 1 END + coalesce(q, 0))::INTEGER, 100) AS raw,
+              coalesce(critical, false) AS critical, coalesce(ordered, false) AS ordered, coalesce(direct, false) AS direct, coalesce(n, 0)::BIGINT AS n_findings, EXISTS (SELECT 1 FROM planted x WHERE x.doc_id = d.doc_id AND x.kind = 'macro') AS macro
+            FROM documents d LEFT JOIN (SELECT doc_id, sum(n) AS n, {part("pattern", 40)} AS p, {part("heuristic", 60)} AS h, {part("semantic", 50)} AS q,
+                bool_or(confidence >= 0.5 AND severity = 'critical') AS critical, bool_or(confidence >= 0.5 AND severity = 'critical' AND layer = 'semantic') AS ordered,
+                bool_or(confidence >= 0.5 AND severity = 'critical' AND layer <> 'semantic' AND category IN ({quoted(P.DIRECT_CATEGORIES)})) AS direct FROM (SELECT * FROM found UNION ALL {semantic}) GROUP BY doc_id) f ON f.doc_id = d.doc_id))""",
         _RULES_SQL, _HITS_SQL, _HEUR, _ALL_SQL,
     )
 
@@ -223,6 +245,20 @@ def score_ai_cleared(spark, sf_dir):
     return scoring.score(report.all_findings(docs), docs.withColumn("ai_cleared", F.col("doc_id") % 2 == 0))
 
 
+#: (remainder of doc_id by 5, severity, confidence): below the floor, at it, up to the cap, beyond it.
+_SEMANTIC = ((0, "critical", 0.5), (1, "high", 0.9), (2, "critical", 0.49), (2, "high", 1.0), (2, "high", 0.95), (3, "critical", 1.0), (3, "critical", 0.9), (3, "medium", 0.7))
+
+
+@query(_score_sql("false", "SELECT doc_id, 'semantic', sev, 'instruction_override', conf::DECIMAL(3,2), 1 FROM documents JOIN (VALUES " + ", ".join(f"({k}, '{s}', {c})" for k, s, c in _SEMANTIC) + ") v(k, sev, conf) ON doc_id % 5 = k"))
+def score_semantic(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    rows = spark.createDataFrame([(k, i, s, c) for i, (k, s, c) in enumerate(_SEMANTIC)], "k long, ord int, severity string, confidence double")
+    found = docs.select("doc_id", (F.col("doc_id") % 5).alias("k")).join(F.broadcast(rows), "k")  # 8 rows
+    blank = {n: F.lit("") for n in ("description", "evidence", "location", "reasoning", "attack_vector")}
+    found = found.withColumns({"layer": F.lit("semantic"), "category": F.lit("instruction_override")} | blank)
+    return scoring.score(report.all_findings(docs, found), docs)
+
+
 @query(f"""WITH s AS ({_score_sql("false")}) SELECT l.toxic, l.quality, s.verdict, count(*)::BIGINT AS n, sum(s.score)::BIGINT AS total FROM s JOIN labels l USING (doc_id) GROUP BY ALL""")
 def label_quality_eval(spark, sf_dir):
     scores = score_verdict(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
@@ -237,12 +273,27 @@ def severity_topk(spark, sf_dir):
     return report.top_findings(found).select("doc_id", "rank", "n_more", "severity", "category", "location")
 
 
-@query()
+@query(on_planted(f"""SELECT doc_id, rank, n_more, layer, severity, category, evidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, l, o1, o2, o3, o4)::INTEGER AS rank,
+  greatest(count(*) OVER (PARTITION BY doc_id) - 10, 0)::BIGINT AS n_more FROM listed) WHERE rank <= 10""", _RULES_SQL, _MATCHES_SQL, _CHECKED, _LISTED))
 def top_findings(spark, sf_dir):
     return report.top_findings(report.all_findings(corpus(spark, sf_dir))).select("doc_id", "rank", "n_more", "layer", "severity", "category", "evidence")
 
 
-@query()
+_REMOVED = "[INJECTION REMOVED]"
+_STEPS = f"list_reduce(list_prepend(visible_text, {{0}}), lambda x, y: CASE WHEN y <> '' AND contains(x, y) THEN replace(x, y, '{_REMOVED}') ELSE x END)"
+_FIELD_SQL = "'layer': layer, 'severity': severity, 'category': category, 'description': description, 'evidence': evidence, 'location': location, 'confidence': confidence, 'reasoning': '', 'attack_vector': ''"
+
+
+@query(f"""WITH scored AS ({_score_sql("false")}), {on_planted("", _RULES_SQL, _MATCHES_SQL, _CHECKED, _LISTED)[5:]},
+  lists AS (SELECT doc_id, list({{{_FIELD_SQL}}} ORDER BY l, o1, o2, o3, o4) AS findings, list({_BOTH_ENDS.format("evidence")} ORDER BY l, o1, o2, o3, o4) AS ev,
+    list('Exact match removed [' || upper(severity) || '] ' || category || ': ' ORDER BY l, o1, o2, o3, o4) AS heads FROM listed GROUP BY doc_id),
+  joined AS (SELECT vis.*, coalesce(findings, []) AS findings, coalesce(ev, []) AS ev, coalesce(heads, []) AS heads FROM vis LEFT JOIN lists ON lists.doc_id = vis.doc_id),
+  changed AS (SELECT doc_id, list(heads[i] || left(ev[i], 80) || CASE WHEN length(ev[i]) > 80 THEN '…' ELSE '' END ORDER BY i) AS changes
+    FROM (SELECT *, unnest(range(1, len(ev) + 1)) AS i FROM joined) WHERE ev[i] <> '' AND contains({_STEPS.format("ev[1:i - 1]")}, ev[i]) GROUP BY doc_id)
+  SELECT doc_id, to_json({{'doc_id': doc_id, 'macro_present': EXISTS (SELECT 1 FROM planted x WHERE x.doc_id = j.doc_id AND x.kind = 'macro'), 'score': score, 'verdict': verdict, 'n_findings': n_findings, 'findings': findings,
+    'document_type': 'unknown', 'document_description': '', 'risk_narrative': '', 'attack_scenario': '', 'remediation': []::VARCHAR[], 'attack_sophistication': '', 'semantic_layer_ran': false, 'semantic_model': '', 'semantic_passes': []::VARCHAR[],
+    'sanitized_text': {_STEPS.format("ev")}, 'sanitization_changes': coalesce(changes, []::VARCHAR[]), 'exit_code': CASE verdict WHEN 'malicious' THEN 2 WHEN 'clean' THEN 0 ELSE 1 END}})::VARCHAR AS json
+  FROM joined j JOIN scored USING (doc_id) LEFT JOIN changed USING (doc_id)""")
 def report_json(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     return report.report_json(report.reports(docs.select("doc_id"), docs))
@@ -276,13 +327,20 @@ def tag_decode(spark, sf_dir):
     return found.where("a.category = 'unicode_tag'").select("doc_id", F.col("a.count").alias("n"), F.col("a.logical_text").alias("decoded"))
 
 
-@query()
+_BIDI = "[" + "".join(map(chr, unicode.BIDI)) + "]"
+
+
+@query(on_planted(f"""SELECT doc_id, codepoint, array_to_string(list_filter(list(logical ORDER BY i), lambda x: x <> ''), ' | ') AS logical_text, array_to_string(list_filter(list(visual ORDER BY i), lambda x: x <> ''), ' | ') AS visual_text
+  FROM (SELECT doc_id, i, codepoint, {_BOTH_ENDS.format("plain")} AS logical, {_BOTH_ENDS.format("left(plain, instr(part, mark) - 1) || array_to_string(list_reverse(regexp_extract_all(substr(part, instr(part, mark) + 1), '(?s).')), '')")} AS visual
+    FROM (SELECT *, regexp_replace(part, '{_BIDI}', '', 'g') AS plain FROM (SELECT doc_id, i, mark, codepoint, substr(visible_text, greatest(i - 61, 0) + 1, least(i - 1, 60) + 60) AS part
+      FROM (SELECT doc_id, visible_text, unnest(range(1, length(visible_text) + 1)) AS i FROM vis WHERE regexp_matches(visible_text, '{_BIDI}')) JOIN (VALUES {", ".join(f"(chr({c}), 'U+{c:04X}')" for c in unicode.BIDI)}) v(mark, codepoint) ON substr(visible_text, i, 1) = mark))) GROUP BY doc_id, codepoint"""))
 def bidi_context(spark, sf_dir):
     found = corpus(spark, sf_dir).select("doc_id", F.explode(unicode.anomalies(F.col("visible_text"))).alias("a"))
     return found.where("a.category = 'bidi_override'").select("doc_id", "a.codepoint", "a.logical_text", "a.visual_text")
 
 
-@query()
+@query("""SELECT doc_id, len(found)::INTEGER AS n, array_to_string(list_transform(found, lambda x: '''' || x.wide || '''→''' || x.plain || ''''), ', ') AS examples FROM (
+  SELECT doc_id, list({'plain': plain, 'wide': wide} ORDER BY instr(text, plain)) AS found FROM documents JOIN (VALUES ('a', 'ａ'), ('e', 'ｅ'), ('o', 'ｏ')) v(plain, wide) ON contains(text, plain) WHERE doc_id % 7 = 0 GROUP BY doc_id)""")
 def homoglyphs(spark, sf_dir):
     wide = F.translate("text", "aeo", "ａｅｏ")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, wide).otherwise(F.col("text")).alias("t"))
