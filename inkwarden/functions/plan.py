@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def held(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns whose expressions stay where they are.  An explode or a filter on an expensive column
-    otherwise makes the optimizer copy its expression into a filter below, where shared parts of it are
-    computed anew at each use; filters don't pass a projection that holds a running id."""
-    df = df.withColumns(columns).withColumn("__hold", F.monotonically_increasing_id())
-    return df.withColumns({n: F.when(F.col("__hold") >= 0, F.col(n)) for n in columns}).drop("__hold")
+def exploded(df: DataFrame, array: Column, position: str, element: str) -> DataFrame:
+    """df with a row for each element of an expensive array.  A plain explode makes the optimizer infer a filter
+    from the array, in which the array's expression is computed once more; an outer one doesn't, and a filter on
+    the position drops the rows of empty arrays.  Filters on df's own columns reach its scan."""
+    rows = df.withColumn("__array", array).select("*", F.posexplode_outer("__array").alias(position, element))
+    return rows.where(F.col(position).isNotNull()).drop("__array")
 
 
 def spread(df: DataFrame) -> DataFrame:

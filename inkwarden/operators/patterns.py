@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwarden.functions import text as T
-from inkwarden.functions.plan import held
+from inkwarden.functions.plan import exploded
 from inkwarden.plans.rules import FULL_CONFIDENCE, NOISE_CONFIDENCE, NOISY_ON_VISIBLE, RULES, Rule
 
 
@@ -39,15 +39,14 @@ def confidence(is_visible: Column, category: Column) -> Column:
 def rule_hits(surfaces: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """surfaces with a row for each matching rule: + rule_id, regex, severity, category."""
     low = surfaces.withColumn("__low", T.folded(F.col("content")))
-    hits = held(low, __hits=_matching(rules, F.col("content"), F.col("__low"))).drop("__low")
-    return hits.select("*", F.explode("__hits").alias("__r")).select("*", "__r.*").drop("__hits", "__r")
+    hits = exploded(low, _matching(rules, F.col("content"), F.col("__low")), "__n", "__r")
+    return hits.select("*", "__r.*").drop("__low", "__n", "__r")
 
 
 def pattern_findings(surfaces: DataFrame, key: str = "doc_id", rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per match, never deduplicated: key, surface_ord, rule_id, match_ord, start, end and the
     finding's fields."""
-    hits = held(rule_hits(surfaces, rules), __m=T.match_spans(F.col("content"), F.col("regex")))
-    rows = hits.select("*", F.posexplode("__m").alias("match_ord", "m"))
+    rows = exploded(rule_hits(surfaces, rules), T.match_spans(F.col("content"), F.col("regex")), "match_ord", "m")
     return rows.select(
         key, "surface_ord", "rule_id", "match_ord", F.col("m.start").alias("start"), F.col("m.end").alias("end"),
         F.lit("pattern").alias("layer"), "severity", "category",

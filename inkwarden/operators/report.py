@@ -52,10 +52,10 @@ def reports(documents: DataFrame, extracted: DataFrame, semantic: DataFrame | No
     found = all_findings(extracted, semantic, key)
     facts = [c for c in ("file", "file_hash", "scan_duration_ms", "ai_cleared", *SEMANTIC_DEFAULTS) if c in documents.columns]
     flags = extracted.select(key, "macro_present", "visible_text").join(documents.select(key, *facts), key, "left")
-    scored = scoring.score(found, flags, key)
     row = F.struct("layer_ord", "ord", F.struct(*FIELDS).alias("f"))
-    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("__f")).select(key, F.transform("__f", lambda x: x.f).alias("findings"))
-    out = flags.join(scored, key).join(listed, key, "left")
+    # One aggregation for score and list, so that rules and checks run once.
+    scored = scoring.score(found, flags, key, {"findings": F.transform(F.sort_array(F.collect_list(row)), lambda x: x.f)})
+    out = flags.join(scored, key)
     none = F.filter(F.array(F.struct(*(F.lit(0.0 if n == "confidence" else "").alias(n) for n in FIELDS))), lambda x: F.lit(False))
     default = lambda v: F.array().cast("array<string>") if v is None else F.lit(v)
     filled = {n: F.coalesce(F.col(n), default(v)) if n in facts else default(v) for n, v in SEMANTIC_DEFAULTS.items()}

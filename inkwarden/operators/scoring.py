@@ -26,8 +26,8 @@ def verdict(score: Column) -> Column:
     return F.when(score <= 20, "clean").when(score <= 44, "suspicious").otherwise("malicious")
 
 
-def score(findings: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per document: key, score int, verdict, n_findings.
+def score(findings: DataFrame, documents: DataFrame, key: str = "doc_id", also: dict[str, Column] | None = None) -> DataFrame:
+    """One row per document: key, score int, verdict, n_findings, and what `also` aggregates over its findings.
 
     findings: key, layer, severity, category, confidence.  documents: key and, optionally, macro_present and
     ai_cleared (both false if missing); documents without findings score 0, or 30 with a macro.
@@ -45,7 +45,7 @@ def score(findings: DataFrame, documents: DataFrame, key: str = "doc_id") -> Dat
     # One aggregation: weak findings only count towards n.
     strong = F.col("confidence") >= P.CONFIDENCE_FLOOR
     capped = [F.least(F.coalesce(F.sum(F.when(strong & (F.col("layer") == n), worth)), F.lit(0)), F.lit(cap)).cast("decimal(20,10)").alias(n) for n, cap in P.CAPS.items()]
-    sums = findings.groupBy(key).agg(*capped, *(F.bool_or(strong & c).alias(n) for n, c in flags.items()), F.count(F.lit(1)).alias("n"))
+    sums = findings.groupBy(key).agg(*capped, *(F.bool_or(strong & c).alias(n) for n, c in flags.items()), F.count(F.lit(1)).alias("n"), *(c.alias(n) for n, c in (also or {}).items()))
     out = docs.join(sums, key, "left")
     part = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(20,10)"))
     halved = F.when(F.col("cleared"), F.lit(0.5).cast("decimal(2,1)")).otherwise(F.lit(1).cast("decimal(2,1)"))
@@ -55,4 +55,4 @@ def score(findings: DataFrame, documents: DataFrame, key: str = "doc_id") -> Dat
     plain = at_least(has("critical_semantic"), 45, at_least(has("critical"), 30, at_least(F.col("macro"), 30, raw)))
     cleared = F.when(has("critical_direct"), F.greatest(F.lit(21), F.least(F.lit(30), raw))).otherwise(F.least(raw, F.lit(20)))
     final = F.when(F.col("cleared"), cleared).otherwise(plain)
-    return out.select(key, final.alias("score"), verdict(final).alias("verdict"), F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"))
+    return out.select(key, final.alias("score"), verdict(final).alias("verdict"), F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"), *(also or {}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarden.functions.plan import held
+from inkwarden.functions.plan import exploded
 from inkwarden.plans.rules import SKIPPED_METADATA
 
 VISIBLE_METHODS = ("ocr_only",)
@@ -39,4 +39,4 @@ def surface_array() -> Column:
 
 def surfaces(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per surface: key, surface_ord, kind, location, content, is_visible."""
-    return held(extracted, __s=surface_array()).select(key, F.posexplode("__s").alias("surface_ord", "s")).select(key, "surface_ord", "s.*")
+    return exploded(extracted, surface_array(), "surface_ord", "s").select(key, "surface_ord", "s.*")

@@ -55,3 +55,16 @@ def test_result_does_not_depend_on_partitioning(spark):
     docs = documents(spark)
     one, many = (report.all_findings(docs.repartition(n)) for n in (1, 7))
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_filters_on_findings_reach_the_scan(spark):
+    docs = documents(spark)
+    for df in (surfaces.surfaces(docs), patterns.pattern_findings(surfaces.surfaces(docs)), heuristics.heuristic_findings(docs), report.all_findings(docs)):
+        scans = re.findall(r"PushedFilters: \[(.*?)\]", plan(df.where("doc_id = 7")))
+        assert scans and all("EqualTo(doc_id,7)" in s for s in scans)
+
+
+def test_reports_run_rules_once(spark):
+    docs, (one,) = documents(spark), {plan(surfaces.surfaces(documents(spark))).count("Generate")}
+    rules = plan(patterns.pattern_findings(surfaces.surfaces(docs))).count("Generate") + plan(heuristics.heuristic_findings(docs)).count("Generate")
+    assert one == 1 and plan(report.reports(docs.select("doc_id"), docs)).count("Generate") == rules
