@@ -65,3 +65,29 @@ def reports(documents: DataFrame, extracted: DataFrame, semantic: DataFrame | No
 
 def report_json(reports: DataFrame, key: str = "doc_id") -> DataFrame:
     return reports.select(key, F.to_json(F.struct("*")).alias("json"))
+
+
+# Characters of a panel and of an item, items of a panel, reasonings.
+PANEL, ITEM, LAYER_ITEM = 2000, 100, 120
+MOST_HIDDEN, MOST_ITEMS, MOST_REASONINGS = 20, 10, 5
+
+
+def panels(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What a reader who wants details is shown of a document: key and a text per kind of content, '' for none."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    lines = lambda items, most, row: F.array_join(F.transform(F.slice(items, 1, most), row), "\n")
+    return extracted.select(
+        key, F.when(F.col("visible_text") != "", T.left(F.col("visible_text"), PANEL)).otherwise("(empty)").alias("visible"),
+        lines("hidden_text", MOST_HIDDEN, lambda h: text("[", h.method, "@", h.location, "]: ", T.left(h.content, ITEM))).alias("hidden"),
+        T.left(F.array_join(F.transform("metadata", lambda m: text(m.key, ": ", m.value)), "\n"), PANEL).alias("metadata"),
+        lines("actual_text_spans", MOST_ITEMS, lambda s: text("page", s.page, ": visual='", s.visual, "' -> extracted='", s.extracted, "'")).alias("substitutions"),
+        lines("tracked_changes", MOST_ITEMS, lambda c: text("[", c.type, ":", c.author, "] ", T.left(c.content, ITEM))).alias("changes"),
+        lines("ocg_hidden_text", MOST_ITEMS, lambda h: text("[", h.layer_name, "] ", T.left(h.content, LAYER_ITEM))).alias("layers"),
+        lines("unicode_anomalies", MOST_ITEMS, lambda a: text(a.category, " ", a.codepoint, " x", a["count"])).alias("anomalies"),
+    )
+
+
+def reasonings(findings: Column) -> Column:
+    """The first reasonings of semantic findings, each under its title."""
+    own = F.filter(findings, lambda f: (f.layer == "semantic") & (f.reasoning != ""))
+    return F.transform(F.slice(own, 1, MOST_REASONINGS), lambda f: F.concat(F.lit("["), f.severity, F.lit("] "), f.category, F.lit(" @ "), f.location, F.lit("\n"), f.reasoning))

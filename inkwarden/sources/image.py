@@ -14,9 +14,11 @@ EXIF_TAGS = {
 MOST_PIXELS = 25_000_000
 MOST_TEXT = 1 << 20
 
-#: Seams: bytes to text, and bytes to payloads; without a library nothing is read.
+#: Seams: bytes to text, bytes to payloads, and a PDF's bytes to an image of each page; without a library nothing
+#: is read.
 ocr: Callable[[bytes], str] = lambda content: ""
 qr_codes: Callable[[bytes], list[str]] = lambda content: []
+pages: Callable[[bytes], list[bytes]] = lambda content: []
 
 
 def png_chunks(content: bytes):

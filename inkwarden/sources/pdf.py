@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 
+from inkwarden.sources import image
 from inkwarden.sources.spans import WHITE
 
 # Fixed value: the most pages.
@@ -201,7 +202,11 @@ def extract(content: bytes) -> dict:
     loose = _OBJECT.sub(b"", content)
     if scripts := scripts + [s for raw in _SCRIPT.findall(loose) if (s := unescape(raw).strip())]:
         metadata.append({"key": "_embedded_js", "value": "\n".join(scripts)})
+    read = []
+    for page, picture in enumerate(image.pages(content), 1):
+        read.append(image.ocr(picture))
+        hidden += [{"location": f"page{page}", "content": x, "method": "qr_code"} for x in image.qr_codes(picture)]
     return {
-        "visible_text": "\n".join(visible).strip(), "hidden_text": hidden, "clipped_text": clipped, "metadata": metadata, "annotations": annotations,
+        "ocr_text": "\n".join(read).strip(), "visible_text": "\n".join(visible).strip(), "hidden_text": hidden, "clipped_text": clipped, "metadata": metadata, "annotations": annotations,
         "form_field_defaults": [{"key": k, "value": v} for k, v in fields.items()],
     }

@@ -188,3 +188,13 @@ def test_ingest_parses_each_file_once(spark, inbox, tmp_path):
     done = ingest.scan(files.read(spark, inbox), str(tmp_path / "held"))
     assert "MapInPandas" not in done._jdf.queryExecution().optimizedPlan().toString()
     assert done.count() == files.read(spark, inbox).count()
+
+
+def test_pdf_pages_go_through_the_seams(monkeypatch):
+    monkeypatch.setattr(image, "pages", lambda content: [b"one", b"two"])
+    monkeypatch.setattr(image, "ocr", lambda picture: f"page {picture.decode()}")
+    monkeypatch.setattr(image, "qr_codes", lambda picture: ["code"] if picture == b"two" else [])
+    out = pdf.extract(make_pdf())
+    assert out["ocr_text"] == "page one\npage two" and {"location": "page2", "content": "code", "method": "qr_code"} in out["hidden_text"]
+    monkeypatch.undo()
+    assert pdf.extract(make_pdf())["ocr_text"] == ""

@@ -2,7 +2,6 @@ import random
 from collections import deque
 from datetime import datetime, timedelta
 
-from inkwarden.operators import semantic
 from inkwarden.streaming import limiter
 
 
@@ -49,19 +48,3 @@ def test_stream_limit(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None and got == greedy(rows, 60, 5)
 
-
-def test_provider_seam(spark):
-    class Scripted:  # in here, so that it travels to the workers by value
-        def calls(self, prompts):
-            return [None if "fail" in p else [{"severity": "SEVERE", "confidence": "90", "category": "x", "evidence": "e" * 600}] if "bad" in p else [] for p in prompts]
-
-    prompts = spark.createDataFrame([(1, "bad one"), (2, "good"), (3, "fail")], "doc_id long, prompt string")
-    found, status = semantic.run(prompts, Scripted())
-    row = found.collect()
-    assert len(row) == 1 and (row[0]["severity"], row[0]["confidence"], len(row[0]["evidence"])) == ("high", 0.9, 500)
-    clear = {r["doc_id"]: r["ai_cleared"] for r in semantic.cleared(status, found).collect()}
-    assert clear == {1: False, 2: True, 3: False}
-    gone = spark.createDataFrame([(1, "0"), (1, "x"), (2, "5")], "doc_id long, index string")
-    assert semantic.dismiss(found, gone).count() == 0
-    found, status = semantic.run(prompts, None)
-    assert found.count() == 0 and {r["ai_cleared"] for r in semantic.cleared(status, found).collect()} == {False}
