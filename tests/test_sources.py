@@ -198,3 +198,18 @@ def test_pdf_pages_go_through_the_seams(monkeypatch):
     assert out["ocr_text"] == "page one\npage two" and {"location": "page2", "content": "code", "method": "qr_code"} in out["hidden_text"]
     monkeypatch.undo()
     assert pdf.extract(make_pdf())["ocr_text"] == ""
+
+
+def test_pdf_strings_object_streams_and_opacity():
+    stream = b"BT /G1 gs (faint text) Tj ET q /G2 gs BT (plain \\050text\\051) Tj ET Q q /G3 gs BT (two meanings) Tj ET Q"
+    inner = [b"<< /Type /Annot /Contents <FEFF00480069> >>", b"<< /ca 0.01 >>", b"<< /Title (\\376\\377\\000H\\000i) >>"]
+    heads = " ".join(f"{i + 7} {sum(len(x) + 1 for x in inner[:i])}" for i in range(3)).encode() + b" "
+    packed = zlib.compress(heads + b"\n".join(inner))
+    states = b"<< /ExtGState << /G1 8 0 R /G2 << /ca 0.5 >> /G3 << /ca 0.01 >> >> >> << /ExtGState << /G3 << /ca 1 >> >> >>\n"
+    content = b"%%PDF-1.5\n%s<< /Type /ObjStm /N 3 /First %d /Filter /FlateDecode >>\nstream\n%s\nendstream\n<< /Length 1 >>\nstream\n%s\nendstream\n" % (states, len(heads), packed, stream)
+    out = pdf.extract(content)
+    assert out["annotations"] == ["Hi"] and {"key": "title", "value": "Hi"} in out["metadata"]
+    assert out["transparent_text"] == [{"page": 1, "content": "faint text", "alpha": 0.01}] and out["visible_text"].split(" ", 1)[0] == "plain"
+    assert "plain (text)" in out["visible_text"] and "two meanings" in out["visible_text"]
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.extract(content + b"trailer << /Encrypt 9 0 R >>")
