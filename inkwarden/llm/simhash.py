@@ -24,7 +24,6 @@ from inkwarden.llm.runtime import bound_batches, materialize, text_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 ROOM = 512
-EDGES = 500_000
 _CHUNK, _ROWS = 1 << 16, 1 << 16
 
 
@@ -153,31 +152,10 @@ def links(ids: DataFrame, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
         depth += 1
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The components of one task's edges: each node that isn't its component's smallest, and that node."""
-    parts = [np.stack([x["a"].to_numpy(np.int64), x["b"].to_numpy(np.int64)]) for x in batches if len(x)]
-    if not parts:
-        return
-    nodes, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
-    ends = ends.reshape(2, -1)
-    label = np.arange(len(nodes))
-    a, b = ends
-    while len(apart := np.flatnonzero(label[a] != label[b])):
-        a, b = a[apart], b[apart]
-        x, y = label[a], label[b]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        label = _flat(label)
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    yield pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b): each node that isn't its component's smallest, and that smallest node.  Tasks of about EDGES edges
-    first replace theirs by stars; then alternating large-star and small-star rounds until nothing changes.  Each
-    round is written out."""
-    edges = materialize(edges.select("a", "b").distinct(), "edges")
-    few = edges.coalesce(1 + edges.count() // EDGES).mapInPandas(_stars, "a long, b long")
-    state, seen, turn = materialize(few.distinct(), "stars"), None, 0
+    """(a, b): each node that isn't its component's smallest, and that smallest node.  Alternating large-star and
+    small-star rounds over the edges themselves, however few, until nothing changes; each round is written out."""
+    state, seen, turn = materialize(edges.select("a", "b").distinct(), "stars"), None, 0
     while True:
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(mark) == seen or not mark["n"]:
